@@ -1 +1,71 @@
-"""Queries (filled in below)."""
+"""Queries for deduplication."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from curata.catalog import register
+from curata.functions.urls import with_identity
+from curata.oracle import sql as O
+from curata.operators.dedup import (dedupe_within_batch, flag_earlier_runs, insert_or_ignore,
+                                    winners_by_key)
+from curata.sources.items import document_items, mixed_batch, page_items
+
+
+def _keys(src: str) -> str:
+    nt = O.normalize_title("title")
+    return f"""keyed AS (
+  SELECT *, sha1({O.normalize_url('url')}) AS url_fp,
+         CASE WHEN {nt} <> '' THEN sha1({nt}) END AS title_key
+  FROM {src})"""
+
+
+@register("dedup_by_url", f"""
+WITH {O.page_items_cte()}, {_keys('page_items')}
+SELECT item_id, url_fp,
+       row_number() OVER (PARTITION BY url_fp ORDER BY source_weight DESC, seq) = 1 AS is_winner
+FROM keyed""")
+def dedup_by_url(spark, sf_dir):
+    items = with_identity(page_items(spark, sf_dir))
+    return winners_by_key(items, "url_fp").select("item_id", "url_fp", "is_winner")
+
+
+@register("dedup_by_title", f"""
+WITH {O.doc_items_cte()}, {O.mixed_batch_cte()}, {_keys('mixed')}
+SELECT seq, title_key,
+       CASE WHEN title_key IS NULL THEN true ELSE
+         row_number() OVER (PARTITION BY title_key ORDER BY source_weight DESC, seq) = 1 END AS is_winner
+FROM keyed""")
+def dedup_by_title(spark, sf_dir):
+    items = with_identity(mixed_batch(document_items(spark, sf_dir)))
+    return winners_by_key(items, "title_key").select("seq", "title_key", "is_winner")
+
+
+@register("dedup_cross_run", f"""
+WITH {O.doc_items_cte()}, {_keys('items')},
+fu AS (SELECT url_fp, min(run_id) AS fu FROM keyed GROUP BY url_fp),
+ft AS (SELECT title_key, min(run_id) AS ft FROM keyed WHERE title_key IS NOT NULL GROUP BY title_key)
+SELECT k.item_id, k.run_id, coalesce(fu.fu < k.run_id, false) OR coalesce(ft.ft < k.run_id, false) AS cross_dup
+FROM keyed k LEFT JOIN fu USING (url_fp) LEFT JOIN ft USING (title_key)""")
+def dedup_cross_run(spark, sf_dir):
+    items = with_identity(document_items(spark, sf_dir))
+    return flag_earlier_runs(items).select("item_id", "run_id", "cross_dup")
+
+
+@register("insert_or_ignore", f"""
+WITH {O.page_items_cte()}, {_keys('page_items')}
+SELECT item_id, url_fp,
+       row_number() OVER (PARTITION BY url_fp ORDER BY run_id, seq) = 1 AS inserted
+FROM keyed""")
+def insert_or_ignore_q(spark, sf_dir):
+    items = with_identity(page_items(spark, sf_dir))
+    ins = insert_or_ignore(items, None, order=["run_id", "seq"]).select(
+        "item_id", F.lit(True).alias("_ins"))
+    return (items.join(ins, "item_id", "left")
+            .select("item_id", "url_fp", F.coalesce("_ins", F.lit(False)).alias("inserted")))
+
+
+@register("dedup_leader")
+def dedup_leader(spark, sf_dir):
+    batch = with_identity(mixed_batch(document_items(spark, sf_dir)))
+    return dedupe_within_batch(batch).select("seq", "item_id", "batch_dup", "slot", "dup_at")

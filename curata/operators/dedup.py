@@ -216,3 +216,18 @@ def insert_or_ignore(batch: DataFrame, archive_url_keys: DataFrame | None,
                            url_key, "left_anti")
     cond = [batch[url_key] == first[url_key]] + [batch[c] == first[f"_o{i}"] for i, c in enumerate(order)]
     return batch.join(first, cond, "left_semi")
+
+
+def flag_earlier_runs(items: DataFrame, run_col: str = "run_id", url_key: str = "url_fp",
+                      title_key: str = "title_key") -> DataFrame:
+    """Cross-run dedup for a whole run history at once: an item is an archive
+    duplicate when its URL key, or its non-empty title key, occurs in an earlier
+    run. First run per key is a partial aggregation over (key, run); the flags
+    join back on the key (one row per key on the build side)."""
+    first_u = items.groupBy(url_key).agg(F.min(run_col).alias("_fu"))
+    first_t = (items.where(F.col(title_key).isNotNull())
+               .groupBy(title_key).agg(F.min(run_col).alias("_ft")))
+    return (items.join(first_u, url_key, "left").join(first_t, title_key, "left")
+            .withColumn("cross_dup", F.coalesce(F.col("_fu") < F.col(run_col), F.lit(False))
+                        | F.coalesce(F.col("_ft") < F.col(run_col), F.lit(False)))
+            .drop("_fu", "_ft"))
