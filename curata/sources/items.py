@@ -26,7 +26,9 @@ PAGE_COPY_OFFSET = 1_000_000
 def items_from_documents(documents: DataFrame) -> DataFrame:
     """One item per document. The run (day) of an item is its hour offset // 24."""
     t = collapse_ws("text")
-    first = F.coalesce(F.get(sentences("text"), 0), F.lit(""))
+    # the first sentence: up to the first . ! or ? followed by white space
+    first = F.regexp_extract(t, r"^(.*?[.!?]) ", 1)
+    first = F.when(first != "", first).otherwise(t)
     return documents.select(
         F.col("doc_id").alias("item_id"),
         F.col("doc_id").alias("seq"),
@@ -51,7 +53,9 @@ def mixed_batch(items: DataFrame) -> DataFrame:
     """The documents items plus a re-syndicated copy of every item whose text has a
     second sentence: same URL, the second sentence as headline, another weight and a
     later position. URL and title collisions interlock (leader dedup input)."""
-    second = F.get(sentences("content"), 1)
+    # the second sentence: after the first boundary, up to the next one or the end
+    second = F.nullif(F.regexp_extract(collapse_ws("content"), r"^.*?[.!?] (.*?[.!?](?= )|.+$)", 1),
+                      F.lit(""))
     copies = (items.where(second.isNotNull())
               .withColumn("title", F.substring(second, 1, 80))
               .withColumn("source_weight", (((F.col("item_id") + 2) % 4) * 0.5).cast("double"))
