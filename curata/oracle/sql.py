@@ -192,6 +192,7 @@ def doc_items_cte(name: str = "items") -> str:
          substring({first}, 1, 80) AS title,
          substring({collapse_ws('text')}, 1, 400) AS summary,
          text AS content, '' AS author,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS fetched_at,
          CASE WHEN doc_id % 10 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) END
            AS published_at,
          CAST((doc_id % 4) * 0.5 AS DOUBLE) AS source_weight, lang
@@ -204,7 +205,7 @@ def mixed_batch_cte(items: str = "items", name: str = "mixed") -> str:
   SELECT * FROM {items}
   UNION ALL
   SELECT item_id, item_id + 1000000000 AS seq, run_id, source_id, url,
-         substring({second}, 1, 80) AS title, summary, content, author, published_at,
+         substring({second}, 1, 80) AS title, summary, content, author, fetched_at, published_at,
          CAST(((item_id + 2) % 4) * 0.5 AS DOUBLE) AS source_weight, lang
   FROM {items} WHERE {second} IS NOT NULL)"""
 
@@ -223,6 +224,7 @@ def page_items_cte(name: str = "page_items") -> str:
   SELECT page_id AS item_id, page_id AS seq, CAST(floor(page_id / 25) AS BIGINT) AS run_id,
          {host} AS source_id, url, {title} AS title,
          substring({collapse_ws(body)}, 1, 400) AS summary, {body} AS content, '' AS author,
+         TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(floor(page_id / 25) AS INTEGER)) AS fetched_at,
          CAST(NULL AS TIMESTAMP) AS published_at,
          CAST((page_id % 3) * 0.5 AS DOUBLE) AS source_weight,
          regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang
@@ -233,7 +235,7 @@ def page_items_cte(name: str = "page_items") -> str:
   SELECT item_id + 1000000 AS item_id, seq + 1000000 AS seq, run_id, 'aggregator' AS source_id,
          {toggled.replace('url', 'url')} || CASE WHEN contains({no_frag}, '?') THEN '&' ELSE '?' END
            || 'utm_medium=social' AS url,
-         title || ' | Digest' AS title, summary, content, author, published_at,
+         title || ' | Digest' AS title, summary, content, author, fetched_at, published_at,
          CAST(((item_id + 1) % 4) * 0.5 AS DOUBLE) AS source_weight, lang
   FROM {name}_base WHERE item_id % 3 = 0)"""
 
@@ -274,3 +276,22 @@ def scored_cte(scope, src: str = "items", name: str = "scored") -> str:
            'score=' || CAST(round(raw_score, 2) AS VARCHAR) || ' min={w.min_score!r}'
          ]::VARCHAR[], lambda x: x IS NOT NULL) AS relevance_reasons
   FROM {name}_raw)"""
+
+
+def strip_ws(e: str) -> str:
+    return f"regexp_replace(coalesce({e}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def best_text(content: str = "content", summary: str = "summary") -> str:
+    return (f"CASE WHEN {strip_ws(content)} <> '' THEN {strip_ws(content)} "
+            f"ELSE {strip_ws(summary)} END")
+
+
+def top_sentences_list(sents: str, k: int = 3) -> str:
+    """list<varchar>: the k best sentences of the list ``sents`` in first-occurrence order."""
+    scored = (f"list_transform({sents}, lambda x, i: {{'neg': -({sentence_score('x', 'i - 1')}), "
+              f"'idx': i - 1, 'text': x}})")
+    picked = f"list_slice(list_sort(list_filter({scored}, lambda y: y.neg < 0)), 1, {k})"
+    placed = (f"list_sort(list_transform({picked}, lambda y: {{'pos': list_position({sents}, y.text), "
+              f"'idx': y.idx, 'text': y.text}}))")
+    return f"list_transform({placed}, lambda z: z.text)"

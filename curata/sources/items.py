@@ -41,6 +41,8 @@ def items_from_documents(documents: DataFrame) -> DataFrame:
         F.substring(t, 1, 400).alias("summary"),
         F.col("text").alias("content"),
         F.lit("").alias("author"),
+        (F.to_timestamp(F.lit(EPOCH)) + F.make_interval(hours=F.col("doc_id").cast("int"))
+         ).alias("fetched_at"),
         F.when(F.col("doc_id") % 10 != 0,
                F.to_timestamp(F.lit(EPOCH)) + F.make_interval(hours=F.col("doc_id").cast("int"))
                ).alias("published_at"),
@@ -86,6 +88,8 @@ def items_from_pages(pages: DataFrame) -> DataFrame:
         F.substring(collapse_ws(body), 1, 400).alias("summary"),
         body.alias("content"),
         F.lit("").alias("author"),
+        (F.to_timestamp(F.lit(EPOCH)) + F.make_interval(days=F.floor(F.col("page_id") / 25).cast("int"))
+         ).alias("fetched_at"),
         F.lit(None).cast("timestamp").alias("published_at"),
         ((F.col("page_id") % 3) * 0.5).cast("double").alias("source_weight"),
         F.regexp_extract("html", r"<html[^>]*lang=\"([^\"]*)\"", 1).alias("lang"),
