@@ -35,5 +35,7 @@ def keyword_hits(text, keywords) -> Column:
     if not keywords:
         return F.array().cast("array<string>")
     t = col(text)
-    return F.array_compact(F.array(*[
-        F.when(t.rlike(keyword_pattern(k)), F.lit(k)) for k in keywords]))
+    # flatten of one-or-zero element arrays keeps list order and stays in codegen
+    empty = F.array().cast("array<string>")
+    return F.flatten(F.array(*[
+        F.when(t.rlike(keyword_pattern(k)), F.array(F.lit(k))).otherwise(empty) for k in keywords]))

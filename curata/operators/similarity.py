@@ -7,7 +7,7 @@ candidate):
   df(term), N, idf = ln((N+1)/(df+1)) + 1        A5, partial agg, N is one row
   w = tf * idf, norm = sqrt(sum w^2)             A6
   candidate pairs by *prefix filtering*          J6 (exact for cosine >= t)
-  dot(a, b) / (|a| |b|) on candidates only       A7, map lookups, no explode
+  dot(a, b) / (|a| |b|) on candidates only       A7, prefix join + suffix corrections
   sim >= t, top-k per candidate                  F7, T1 (WindowGroupLimit)
   title / url / summary of the prior             J7, late join on id
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.text import doc_text, tokens
+from curata.session import materialize
 
 EPS = 1e-9
 
@@ -54,40 +55,56 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     return w.join(norm, "id")
 
 
-def candidate_pairs(vec: DataFrame, threshold: float) -> DataFrame:
-    """Distinct unordered pairs (a < b) that may reach cosine >= threshold."""
+def split_prefix(vec: DataFrame, threshold: float) -> DataFrame:
+    """Marks each (id, term) entry as prefix or suffix. Terms are ordered rarest
+    first (df asc, term asc); an entry is in the prefix while the unit-length
+    suffix starting at it still has norm >= threshold."""
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     u = vec.withColumn("u2", (F.col("w") / F.col("norm")) ** 2)
-    # norm of the suffix that starts at this term (terms ordered rarest first)
-    u = u.withColumn("rem", F.sqrt(F.sum("u2").over(order)))
-    prefix = u.where(F.col("rem") >= F.lit(threshold - EPS)).select("id", "term")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    return (a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
-            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-
-
-def _vectors(vec: DataFrame) -> DataFrame:
-    return vec.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"),
-        F.first("norm").alias("norm"))
+    return u.withColumn("in_prefix", F.sqrt(F.sum("u2").over(order)) >= F.lit(threshold - EPS))
+
+
+def pair_dots(marked: DataFrame) -> DataFrame:
+    """Exact dot products of every pair (a < b) that can reach cosine >= threshold.
+
+    1. prefix(a) x prefix(b) on term gives the candidates and the part of the dot
+       over the terms in both prefixes;
+    2. common terms in suffix(a): candidates x suffix(a) on a, x vector(b) on (b, term);
+    3. common terms in suffix(b) and prefix(a): candidates x suffix(b) on b,
+       x prefix(a) on (a, term).
+    Suffixes are short (the low-weight tail), so 2 and 3 are a few rows per pair.
+    ``marked``: output of ``split_prefix`` (materialised by the caller)."""
+    pre = marked.where("in_prefix").select("id", "term", "w")
+    suf = marked.where(~F.col("in_prefix")).select("id", "term", "w")
+    a, b = pre.alias("a"), pre.alias("b")
+    part = (a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
+            .groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+            .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("d")))
+    part = materialize(part)
+    cands = part.select("a", "b")
+    full_b = marked.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    c2 = (cands.join(suf.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a")
+          .join(full_b, ["b", "term"])
+          .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("d")))
+    pre_a = pre.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
+    c3 = (cands.join(suf.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), "b")
+          .join(pre_a, ["a", "term"])
+          .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("d")))
+    return part.unionByName(c2).unionByName(c3).groupBy("a", "b").agg(F.sum("d").alias("dot"))
 
 
 def cosine_pairs(tf: DataFrame, threshold: float = 0.08) -> DataFrame:
     """All ordered pairs (id, other) with cosine >= threshold, both directions:
     (item_id, related_item_id, sim) with the unrounded ``sim``."""
     idf = inverse_document_frequency(tf)
-    vec = tfidf(tf, idf)
-    cands = candidate_pairs(vec, threshold)
-    vs = _vectors(vec)
-    va = vs.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
-    vb = vs.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
-    dots = cands.join(va, "a").join(vb, "b").select(
-        "a", "b",
-        (F.aggregate(F.map_entries("va"), F.lit(0.0),
-                     lambda acc, e: acc + e["value"] * F.coalesce(F.col("vb")[e["key"]], F.lit(0.0)))
-         / (F.col("na") * F.col("nb"))).alias("sim"))
-    dots = dots.where(F.col("sim") >= F.lit(threshold))
+    marked = materialize(split_prefix(tfidf(tf, idf), threshold))
+    norms = marked.select("id", "norm").distinct()
+    dots = (pair_dots(marked)
+            .join(norms.select(F.col("id").alias("a"), F.col("norm").alias("na")), "a")
+            .join(norms.select(F.col("id").alias("b"), F.col("norm").alias("nb")), "b")
+            .select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
+            .where(F.col("sim") >= F.lit(threshold)))
     return (dots.select(F.col("a").alias("item_id"), F.col("b").alias("related_item_id"), "sim")
             .unionByName(dots.select(F.col("b").alias("item_id"), F.col("a").alias("related_item_id"), "sim")))
 

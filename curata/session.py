@@ -32,6 +32,9 @@ def get_session(master: str | None = None, app: str = "curata",
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = os.environ.get("CURATA_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -66,3 +69,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="curata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialize(df):
+    """Cut lineage at a shared intermediate: a reliable checkpoint into
+    ``spark.checkpoint.dir`` (survives the loss of an executor; never
+    ``localCheckpoint``). Used where one intermediate feeds several branches and
+    the plan would otherwise copy its subtree into each."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -11,6 +11,7 @@ published_at timestamp, source_weight double, lang string.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,10 +111,36 @@ def items_from_pages(pages: DataFrame) -> DataFrame:
     return base.unionByName(copies)
 
 
+# Derived item tables stand in for the archive's stored item table: they are
+# materialised once per session (persisted, MEMORY_AND_DISK; a lost executor
+# recomputes its partitions from the scan), so that filters pushed down by the
+# optimizer do not re-derive titles and summaries from the whole text per use.
+_MATERIALISED: dict = {}
+
+
+def _materialise(spark: SparkSession, key: tuple, build) -> DataFrame:
+    k = (id(spark), spark.sparkContext.applicationId) + key
+    df = _MATERIALISED.get(k)
+    if df is None:
+        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _MATERIALISED[k] = df
+    return df
+
+
+def release_materialised() -> None:
+    for df in _MATERIALISED.values():
+        df.unpersist()
+    _MATERIALISED.clear()
+
+
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    return items_from_documents(docs)
+    def build():
+        docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+        return items_from_documents(docs)
+    return _materialise(spark, ("documents", sf_dir), build)
 
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items_from_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    def build():
+        return items_from_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return _materialise(spark, ("pages", sf_dir), build)
