@@ -62,3 +62,31 @@ def health(ok: Column, error: Column, fetched: Column, n_source_errors: Column,
                .otherwise(F.format_string(
                    "published/updated %d article(s) from %d relevant item(s)", generated, relevant)))
     return F.struct(status.alias("status"), summary.alias("summary"))
+
+
+def _py_list(keys: Column) -> Column:
+    # Python list text of the keys, e.g. ['a', 'b']
+    return F.concat(F.lit("["), F.array_join(F.transform(keys, lambda k: F.concat(
+        F.lit("'"), k, F.lit("'"))), ", "), F.lit("]"))
+
+
+def alert(status: Column, summary: Column, fetched, relevant, duplicates, error_sources: Column,
+          generated, passed, flagged, failed, fallbacks, error: Column, run_url: str = "",
+          name: str = "Curation") -> Column:
+    """struct<title, body> of the alert for a run verdict."""
+    title = F.when(status == HEALTH_FAILURE, F.lit(f"🔴 {name} pipeline failure")).otherwise(
+        F.lit(f"🟡 {name}: empty-news day (nothing published)"))
+    srcs = F.when(F.size(error_sources) > 0, _py_list(error_sources)).otherwise(F.lit("none"))
+    lines = F.concat(
+        F.lit("**"), summary, F.lit("**\n\n"),
+        F.lit("**Discovery**\n"),
+        F.format_string("- fetched: %d\n- relevant: %d\n- duplicates: %d\n", fetched, relevant, duplicates),
+        F.lit("- source errors: "), srcs, F.lit("\n\n"),
+        F.lit("**Generation**\n"),
+        F.format_string("- generated: %d (pass=%d, flagged=%d, fail=%d)\n- llm fallbacks: %d\n\n",
+                        generated, passed, flagged, failed, fallbacks),
+        F.when(error.isNotNull(), F.concat(F.lit("**Error**\n```\n"), error, F.lit("\n```\n\n")))
+        .otherwise(F.lit("")),
+        F.lit(f"[workflow run]({run_url})\n" if run_url else ""))
+    body = F.regexp_replace(lines, r"\n$", "")
+    return F.struct(title.alias("title"), body.alias("body"))
