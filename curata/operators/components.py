@@ -1,7 +1,8 @@
 """Connected components of rows linked by shared keys (hash-min label propagation).
 
-Each row starts with its own ``seq`` as label; every round, each key takes the
-minimum label of its rows and each row the minimum label of its keys. The loop
+Each row starts with its own ``seq`` as label; every round, for each key kind in
+turn, each key takes the minimum label of its rows and each row the minimum label
+of its key. The loop
 stops when no label changes; the number of rounds is bounded by the diameter of
 the row/key graph. Every round is two partial aggregations and two equi-joins
 (AQE splits a hot key's partition), and the labels are checkpointed to the
@@ -28,17 +29,16 @@ def connected_components(rows: DataFrame, id_col: str, key_cols: list[str]) -> D
     rounds = 0
     while True:
         rounds += 1
-        cur = nodes
-        mins = []
+        # one hop per key, applied in turn: a round moves a label across every key kind
+        cur = nodes.withColumn("_start", F.col("_label"))
         for i in range(len(key_cols)):
             k = f"_k{i}"
             m = (cur.where(F.col(k).isNotNull()).groupBy(k)
-                 .agg(F.min("_label").alias(f"_m{i}")))
-            cur = cur.join(m, k, "left")
-            mins.append(F.col(f"_m{i}"))
-        new_label = F.least(F.col("_label"), *mins)
-        nxt = cur.select("_id", *[f"_k{i}" for i in range(len(key_cols))],
-                         new_label.alias("_label"), (new_label < F.col("_label")).alias("_chg"))
+                 .agg(F.min("_label").alias("_m")))
+            cur = (cur.join(m, k, "left")
+                   .withColumn("_label", F.least(F.col("_label"), F.col("_m"))).drop("_m"))
+        nxt = cur.select("_id", *[f"_k{i}" for i in range(len(key_cols))], "_label",
+                         (F.col("_label") < F.col("_start")).alias("_chg"))
         nxt = nxt.checkpoint()
         changed = nxt.where("_chg").limit(1).count()
         nodes = nxt.drop("_chg")
