@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.functions.text import col, strip_ws, top_sentences
+from curata.functions.text import col, sentences, strip_ws, top_sentences
 
 DEFAULT_FOCUS = "the AI tooling space"
 PROMPT_TEXT_CAP = 12000
@@ -66,16 +66,19 @@ def assemble_body(title="title", what="what_changed", why="why_it_matters",
 def extractive(inputs: DataFrame, scope_name: str = "", k: int = 3) -> DataFrame:
     """The extractive engine: the k most salient sentences of the best text in
     document order; else the summary; else the title."""
-    picked = top_sentences(best_text(), k)
     summary = F.coalesce(F.col("summary"), F.lit(""))
     fallback = F.when(summary != "", summary).otherwise(F.coalesce(F.col("title"), F.lit("")))
-    return inputs.withColumns({
+    # materialised step by step: the whole text is split into sentences once per row
+    staged = (inputs.withColumn("_sents", sentences(best_text()))
+              .withColumn("_picked", top_sentences("_sents", k)).drop("_sents"))
+    picked = F.col("_picked")
+    return staged.withColumns({
         "what_changed": F.when(F.size(picked) > 0, F.array_join(picked, " ")).otherwise(fallback),
         "why_it_matters": why_it_matters(scope_name),
         "comparison": comparison_text("related"),
         "engine": F.lit("extractive"),
         "model": F.lit(""),
-    })
+    }).drop("_picked")
 
 
 def prompts(inputs: DataFrame, scope_name: str = "") -> DataFrame:

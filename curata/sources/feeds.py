@@ -53,9 +53,10 @@ def entries_to_items(entries: DataFrame, source_id: Column, weight: Column,
     summary = strip_html(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("encoded"), F.lit("")))
     published = F.coalesce(feed_time("pubDate"), feed_time("updated"))
     tags = F.filter(F.coalesce(F.col("category"), F.array().cast("array<string>")), lambda t: t != "")
-    seq = F.col("_row") if "_row" in entries.columns else F.monotonically_increasing_id()
+    # batch scans carry their row order; a stream gets ``seq`` per micro-batch
+    seq = [F.col("_row").alias("seq")] if "_row" in entries.columns else []
     return (entries.select(
-                seq.alias("seq"),
+                *seq,
                 source_id.alias("source_id"),
                 F.coalesce(F.col("link"), F.lit("")).alias("url"),
                 title.alias("title"),
@@ -92,7 +93,9 @@ def scan_feeds(spark: SparkSession, root: str, sources: DataFrame) -> tuple[Data
     items = entries_to_items(good, F.col("_sid"), F.coalesce("_w", F.lit(1.0)),
                              F.coalesce("_feed_title", F.lit("")))
     counts = raw.join(enabled, "_sid").groupBy("_sid").agg(
-        F.count_if(F.col("_corrupt_record").isNull()).alias("good"),
+        # a parsed column is referenced too: Spark refuses corrupt-record-only queries
+        F.count_if(F.col("_corrupt_record").isNull()
+                   & (F.col("link").isNotNull() | F.col("title").isNotNull())).alias("good"),
         F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"))
     errors = counts.where((F.col("good") == 0) & (F.col("bad") > 0)).select(
         F.col("_sid").alias("source_id"),

@@ -40,6 +40,7 @@ def _empty_archive(spark: SparkSession) -> DataFrame:
 def run_batch(batch: DataFrame, batch_id: int, archive_path: str, scope: Scope) -> None:
     """One micro-batch = one discovery run appended to the archive."""
     spark = batch.sparkSession
+    batch = batch.withColumn("seq", F.monotonically_increasing_id())  # arrival order in the batch
     try:
         archive = read_items(spark, archive_path, before_run=batch_id)
     except Exception:  # noqa: BLE001 - no archive yet
