@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -78,3 +80,18 @@ def materialize(df):
     the plan would otherwise copy its subtree into each."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark) -> None:
+    """Send this package to the Python workers (once per context), so that functions
+    which run there can import it wherever the job was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_curata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="curata-pkg-"), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._curata_shipped = True
