@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import huffman, packing, quality, toxicity
+from curata.llm import huffman, packing, quality, rules, toxicity
 from curata.llm.common import read
 
 
@@ -22,12 +22,17 @@ def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"))
+
+
 def op10_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_huffman_ids, op2_swap_packing, op6_ftrl_quality, op10_mil_toxicity)}
+    return {f.__name__: f for f in (
+        op1_huffman_ids, op2_swap_packing, op6_ftrl_quality, op7_divergence_rules, op10_mil_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,7 +85,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, step: float
             bags.append((slots.astype(np.int32), at.astype(np.int32), int(numbered[-1]) + 1))
         else:
             bags.append(None)
-    l1 = max(0.3, L1 * len(bags) / SAMPLE)
+    l1 = min(L1, max(0.5, len(bags) / 700))
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
 
     def leader(zs, ns):
