@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import huffman, packing, quality, rules, toxicity
+from curata.llm import huffman, neighbours, packing, pagetext, quality, rules, toxicity, warc
 from curata.llm.common import read
 
 
@@ -18,6 +18,14 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read(spark, sf_dir, "pages"))
+
+
+def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -26,13 +34,18 @@ def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours_of_twentieths(read(spark, sf_dir, "embeddings"))
+
+
 def op10_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_huffman_ids, op2_swap_packing, op6_ftrl_quality, op7_divergence_rules, op10_mil_toxicity)}
+        op1_huffman_ids, op2_swap_packing, op4_seekable_warc, op5_mincut_html, op6_ftrl_quality,
+        op7_divergence_rules, op9_multi_index, op10_mil_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
