@@ -1,47 +1,63 @@
-"""Connected components of rows linked by shared keys (hash-min label propagation).
-
-Each row starts with its own ``seq`` as label; every round, for each key kind in
-turn, each key takes the minimum label of its rows and each row the minimum label
-of its key. The loop
-stops when no label changes; the number of rounds is bounded by the diameter of
-the row/key graph. Every round is two partial aggregations and two equi-joins
-(AQE splits a hot key's partition), and the labels are checkpointed to the
-shared ``spark.checkpoint.dir`` so lineage stays one round deep and a lost
-executor recomputes at most one round.
+"""Connected components by alternating large and small stars.
+
+``star_components`` takes links between nodes. A large star ties every larger neighbour of
+a node to the smallest node it sees; a small star ties the smaller ones (Kiveris, Lattanzi,
+Mirrokni, Rastogi, Vassilvitskii, "Connected components in MapReduce and beyond", 2014).
+The rounds grow with the logarithm of the component, not with its diameter. A round is
+partial aggregations and equi-joins (AQE splits the partition of a hub), and is written to
+the shared checkpoint folder, so a lost executor costs one round at most.
+
+``connected_components`` links rows by shared keys: each key ties its rows to its smallest
+row, a partial aggregation, and rows that share no key with another never enter the rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.session import ensure_checkpoint_dir
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and order-independent digest of the edges."""
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return tuple(row)
+
+
+def star_components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node in ``links`` (columns ``a`` and ``b``); the root is the
+    component's smallest node. Nodes without a link to another node are left out."""
+    ensure_checkpoint_dir(links.sparkSession)
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    before = _state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                 .where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
 def connected_components(rows: DataFrame, id_col: str, key_cols: list[str]) -> DataFrame:
     """rows: (id, key1, key2, ...) with NULL keys linking nothing.
     Returns (id, component) where component = min id of the component."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    nodes = rows.select(F.col(id_col).alias("_id"), *[F.col(k).alias(f"_k{i}")
-                                                      for i, k in enumerate(key_cols)])
-    nodes = nodes.withColumn("_label", F.col("_id")).checkpoint()
-    rounds = 0
-    while True:
-        rounds += 1
-        # one hop per key, applied in turn: a round moves a label across every key kind
-        cur = nodes.withColumn("_start", F.col("_label"))
-        for i in range(len(key_cols)):
-            k = f"_k{i}"
-            m = (cur.where(F.col(k).isNotNull()).groupBy(k)
-                 .agg(F.min("_label").alias("_m")))
-            cur = (cur.join(m, k, "left")
-                   .withColumn("_label", F.least(F.col("_label"), F.col("_m"))).drop("_m"))
-        nxt = cur.select("_id", *[f"_k{i}" for i in range(len(key_cols))], "_label",
-                         (F.col("_label") < F.col("_start")).alias("_chg"))
-        nxt = nxt.checkpoint()
-        changed = nxt.where("_chg").limit(1).count()
-        nodes = nxt.drop("_chg")
-        if changed == 0:
-            break
-    return nodes.select(F.col("_id").alias(id_col), F.col("_label").alias("component"))
+    def tied(key: str) -> DataFrame:
+        keyed = rows.where(F.col(key).isNotNull()).select(F.col(id_col).alias("a"), F.col(key).alias("k"))
+        first = keyed.groupBy("k").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+        return keyed.join(first, "k").where("a <> b").select("a", "b")
+
+    roots = star_components(reduce(DataFrame.unionByName, map(tied, key_cols)), "a", "b")
+    ids = rows.select(F.col(id_col).alias("node")).distinct()
+    return ids.join(roots, "node", "left").select(
+        F.col("node").alias(id_col), F.coalesce("root", "node").alias("component"))
