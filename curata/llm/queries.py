@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import huffman, neighbours, packing, pagetext, quality, rules, toxicity, warc
+import corpus_pipeline
+from curata.llm import bpe, forest, huffman, neighbours, packing, pagetext, quality, rules, toxicity, warc
 from curata.llm.common import read
+from curata.llm.tokens import vocabulary_path
 
 
 def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(read(spark, sf_dir, "documents"), size=2)
+
+
 def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read(spark, sf_dir, "pages"))
 
@@ -34,6 +40,12 @@ def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"),
+                                 public_tokenizers.PATTERN)
+
+
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours_of_twentieths(read(spark, sf_dir, "embeddings"))
 
@@ -42,10 +54,14 @@ def op10_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_huffman_ids, op2_swap_packing, op4_seekable_warc, op5_mincut_html, op6_ftrl_quality,
-        op7_divergence_rules, op9_multi_index, op10_mil_toxicity)}
+        op1_huffman_ids, op2_swap_packing, op3_lsh_forest, op4_seekable_warc, op5_mincut_html, op6_ftrl_quality,
+        op7_divergence_rules, op8_distinct_word_bpe, op9_multi_index, op10_mil_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
