@@ -3,9 +3,11 @@
 ``star_components`` takes links between nodes. A large star ties every larger neighbour of
 a node to the smallest node it sees; a small star ties the smaller ones (Kiveris, Lattanzi,
 Mirrokni, Rastogi, Vassilvitskii, "Connected components in MapReduce and beyond", 2014).
-The rounds grow with the logarithm of the component, not with its diameter. A round is
-partial aggregations and equi-joins (AQE splits the partition of a hub), and is written to
-the shared checkpoint folder, so a lost executor costs one round at most.
+Before each round every task contracts its own links, ``TASK_LINKS`` at most on average, to
+stars by union-find, so a component within one task needs no round at all. The rounds grow
+with the logarithm of the component, not with its diameter. A round is partial aggregations
+and equi-joins (AQE splits the partition of a hub), and is written to the shared checkpoint
+folder, so a lost executor costs one round at most.
 
 ``connected_components`` links rows by shared keys: each key ties its rows to its smallest
 row, a partial aggregation, and rows that share no key with another never enter the rounds.
@@ -15,10 +17,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.session import ensure_checkpoint_dir
+from curata.session import ensure_checkpoint_dir, ship_package
+
+TASK_LINKS = 1 << 16
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,17 +32,44 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _contracted(edges: DataFrame, count: int) -> DataFrame:
+    """The links of each task as stars around the smallest node of each of its components."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        parent: dict = {}
+
+        def root(x):
+            top = x
+            while parent.get(top, top) != top:
+                top = parent[top]
+            while parent.get(x, x) != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for u, v in zip(batch["u"], batch["v"]):
+                u, v = root(u), root(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        nodes = list(parent)
+        yield pd.DataFrame({"u": nodes, "v": [root(x) for x in nodes]})
+
+    return edges.coalesce(max(1, -(-count // TASK_LINKS))).mapInPandas(run, f"u {kind}, v {kind}")
+
+
 def star_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node in ``links`` (columns ``a`` and ``b``); the root is the
     component's smallest node. Nodes without a link to another node are left out."""
     ensure_checkpoint_dir(links.sparkSession)
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    ship_package(links.sparkSession)
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").checkpoint()
+    edges = _contracted(edges, edges.count()).checkpoint()
     before = _state(edges)
-    while before[0]:
+    while edges.rdd.getNumPartitions() > 1:  # one task's links are whole components already
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
@@ -45,6 +77,7 @@ def star_components(links: DataFrame, a: str, b: str) -> DataFrame:
         if after == before:
             break
         before = after
+        edges = _contracted(edges, after[0]).checkpoint()
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
