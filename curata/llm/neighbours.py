@@ -159,6 +159,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
                              "entries": [b"".join(part["vector"])]})
 
     shards = (entered.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+              .coalesce(-(-total // SHARD))  # shards follow the rows, not the session's partitions
               .mapInPandas(shard, "vec_ids array<long>, cells array<long>, entries binary")
               .withColumn("shard", F.monotonically_increasing_id()))
     shards = stage(shards, "shards")
@@ -185,7 +186,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
                 yield pd.DataFrame({"query_ids": [part["vec_id"].tolist()], "queries": [b"".join(part["vector"])],
                                     "visits": [np.packbits(bits, axis=1).tobytes()], "wanted": [wanted]})
 
-    blocks = stage(entered.where(is_query).select("vec_id", "vector").mapInPandas(
+    queries = entered.where(is_query).select("vec_id", "vector")
+    blocks = stage(queries.coalesce(max(1, -(-queries.count() // BLOCK))).mapInPandas(
         gather, "query_ids array<long>, queries binary, visits binary, wanted array<long>")
         .withColumn("block", F.monotonically_increasing_id()), "query-blocks")
 
