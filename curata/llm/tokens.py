@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 #: printable ASCII, tab, line feed, carriage return, Latin-1 and Latin Extended-A
 #: letters without the four that lower-casing or normal forms treat specially
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
@@ -46,25 +46,16 @@ class WordTokens(dict):
         self.whole.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.whole.model
         self.limit = limit
-        self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.letters = _byte_letters()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+    def _merge(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            got = self._piece(word)
-        else:
-            got = b"".join(map(self._piece, self.split(word)))
+        pieces = [word] if word.isalpha() else self.split(word)
+        got = self._merge(word) if pieces == [word] else b"".join([self[p] for p in pieces])
         if len(self) >= self.limit:
             self.clear()
         self[word] = got
