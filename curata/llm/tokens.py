@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 #: printable ASCII, tab, line feed, carriage return, Latin-1 and Latin Extended-A
 #: letters without the four that lower-casing or normal forms treat specially
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
