@@ -5,16 +5,17 @@ Encoding, in four steps:
 1. A task reads whole texts, splits them into pre-tokens, and keeps the positions: a chunk
    of documents (about ``CHUNK_CHARS``) becomes its list of distinct words and, for every
    pre-token in order, its word's number in that list.
-2. The distinct words of all chunks are exploded and shuffled by word; where equal words
-   meet, each is merged once, and its ids go back to every chunk that has it.
-3. A chunk's words and ids are gathered in its dictionary, bounded by the chunk.
+2. The distinct words of all chunks are exploded into parts by a hash of the word and
+   shuffled by it; where equal words meet, each is merged once (a bounded memo), and the
+   part's ids go back to its chunk in the order of its words.
+3. The parts of a chunk are gathered: its dictionary, bounded by the chunk.
 4. Chunks join their dictionaries by chunk number and put the ids in place of the numbers,
    position by position. Chunks are written in buckets of that number, so that the
    positions, by far the larger side, are not shuffled.
 
-What moves is a row per (chunk, distinct word), not one per pre-token: a word of a third
-of all text is one row a chunk. Decoding looks the ids up in the table of token bytes
-(bounded by the vocabulary) and joins the bytes.
+What moves is an entry per (chunk, distinct word), packed a part to a row, not one per
+pre-token: a word of a third of all text is one entry a chunk. Decoding looks the ids up in
+the table of token bytes (bounded by the vocabulary) and joins the bytes.
 
 Defined results: null text = empty text = no ids; null document ids stay null; repeated
 rows are encoded each; an empty table gives no rows; other columns are ignored.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import uuid
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 
 from curata.llm.common import scratch, whole_text
 
-CHUNK_CHARS = 24 * 1024 * 1024
-_CHUNKS = "keys array<string>, sizes array<long>, numbers binary, words array<string>"
+CHUNK_CHARS = 12 * 1024 * 1024
+MEMO_WORDS = 500_000
+_CHUNKS = ("keys array<string>, sizes array<long>, numbers binary, part_of binary, "
+           "parts array<struct<part:int,lengths:binary,words:binary>>")
 
 
 @lru_cache(maxsize=2)
@@ -61,14 +65,53 @@ class _Numbers(dict):
         return n
 
 
-def _chunked(docs: DataFrame, pattern: str) -> DataFrame:
+class _Merged(dict):
+    """word's bytes -> its ids, bounded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word):
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        got = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        return got
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """uint32 numbers, their first bytes together, then their second ones, and so on:
+    small numbers compress better so."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _pieces(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     def run(batches):
-        split = regex.compile(pattern).findall
+        import zstandard
+        split, pack = regex.compile(pattern).findall, zstandard.ZstdCompressor().compress
         numbers, keys, sizes, found, held = _Numbers(), [], [], [], 0
 
         def row():
-            return pd.DataFrame({"keys": [keys], "sizes": [sizes], "words": [list(numbers)],
-                                 "numbers": [b"".join(found)]})
+            words = [w.encode() for w in numbers]
+            part_of = np.array([zlib.crc32(w) % parts for w in words], "<u4")
+            order = np.argsort(part_of, kind="stable")
+            packed = []
+            for own in np.split(order, np.flatnonzero(np.diff(part_of[order])) + 1):
+                if len(own):
+                    mine = [words[i] for i in own.tolist()]
+                    packed.append({"part": int(part_of[own[0]]), "words": pack(b"".join(mine)),
+                                   "lengths": pack(_planes(np.array([len(w) for w in mine], "<u4")))})
+            return pd.DataFrame({"keys": [keys], "sizes": [sizes], "numbers": [_planes(np.concatenate(found))],
+                                 "part_of": [part_of.tobytes()], "parts": [packed]})
 
         for batch in batches:
             for key, text in zip(batch["key"], batch["text"]):
@@ -78,7 +121,7 @@ def _chunked(docs: DataFrame, pattern: str) -> DataFrame:
                 own = np.array([numbers[w] for w in split(text)], "<u4")
                 keys.append(key)
                 sizes.append(len(own))
-                found.append(own.tobytes())
+                found.append(own)
                 held += len(text)
         if keys:
             yield row()
@@ -91,39 +134,44 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text), ids as little-endian uint32."""
     spark = docs.sparkSession
     name, path = f"bpe_{uuid.uuid4().hex}", scratch(spark, "bpe-chunks")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (_chunked(docs, pattern).write.bucketBy(buckets, "chunk").option("path", path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (_chunked(docs, pattern, parts).write.bucketBy(parts, "chunk").option("path", path)
      .option("compression", "zstd").format("parquet").saveAsTable(name))
     chunks = spark.table(name)
 
     def merge(batches):
-        encode, last, ids = _merger(vocabulary), None, b""
+        import zstandard
+        merged, pack = _Merged(_merger(vocabulary)), zstandard.ZstdCompressor().compress
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for word in batch["word"]:
-                if word != last:  # rows come sorted by word
-                    last, ids = word, np.array(encode(word), "<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"chunk": batch["chunk"], "number": batch["number"], "ids": out})
-
-    words = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
-    merged = (words.repartition("word").sortWithinPartitions("word")
-              .mapInPandas(merge, "chunk long, number int, ids binary"))
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("number")
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "lengths": [
-            (rows["ids"].str.len().to_numpy() // 4).astype("<u4").tobytes()], "ids": [b"".join(rows["ids"])]})
-
-    dictionaries = merged.groupBy("chunk").applyInPandas(gather, "chunk long, lengths binary, ids binary")
+            for lengths, words in zip(batch["lengths"], batch["words"]):
+                ids = [merged[w] for w in _pieces(unpack(words), _unplaned(unpack(lengths)))]
+                sizes = np.array([len(x) // 4 for x in ids], "<u4")
+                out.append((pack(_planes(sizes)),
+                            pack(_planes(np.frombuffer(b"".join(ids), "<u4")))))
+            yield pd.DataFrame({"chunk": batch["chunk"], "part": batch["part"], "sizes": [x for x, _ in out],
+                                "ids": [y for _, y in out]})
+
+    words = chunks.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.part", "p.lengths", "p.words")
+    merged = words.repartition(parts, "part").mapInPandas(merge, "chunk long, part int, sizes binary, ids binary")
+    dictionaries = merged.groupBy("chunk").agg(
+        F.array_sort(F.collect_list(F.struct("part", F.col("sizes").alias("n"), "ids"))).alias("dictionary"))
 
     def place(batches):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for r in batch.itertuples(index=False):
-                numbers = np.frombuffer(r.numbers, "<u4").astype(np.int64)
-                lengths = (np.frombuffer(r.lengths, "<u4") if r.lengths is not None else np.zeros(0)).astype(np.int64)
-                ids = np.frombuffer(r.ids if r.ids is not None else b"", "<u4")
-                starts = np.cumsum(lengths) - lengths
+                order = np.argsort(np.frombuffer(r.part_of, "<u4"), kind="stable")
+                entries = r.dictionary if r.dictionary is not None else []
+                by_part = [_unplaned(unpack(e["n"])) for e in entries]
+                ids = np.concatenate([_unplaned(unpack(e["ids"])) for e in entries] or [np.zeros(0, "<u4")])
+                sizes_by_part = np.concatenate(by_part or [np.zeros(0, "<u4")]).astype(np.int64)
+                lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                lengths[order] = sizes_by_part
+                starts[order] = np.cumsum(sizes_by_part) - sizes_by_part
+                numbers = _unplaned(r.numbers)
                 ends = np.cumsum(np.asarray(r.sizes, np.int64))
                 for lo in range(0, len(ends), 512):  # a few documents at a time
                     hi = min(lo + 512, len(ends))
@@ -137,8 +185,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     yield pd.DataFrame({"key": list(r.keys[lo:hi]), "ids": [
                         flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
 
-    joined = chunks.select("chunk", "keys", "sizes", "numbers").join(dictionaries, "chunk", "left")
-    got = joined.select("keys", "sizes", "numbers", "lengths", "ids").mapInPandas(place, "key string, ids binary")
+    joined = chunks.select("chunk", "keys", "sizes", "numbers", "part_of").join(dictionaries, "chunk", "left")
+    got = joined.select("keys", "sizes", "numbers", "part_of", "dictionary").mapInPandas(place, "key string, ids binary")
     return got.select(F.col("key").cast("long").alias("doc_id"), "ids")
 
 
