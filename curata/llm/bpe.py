@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from curata.llm.common import scratch, whole_text
 
-CHUNK_CHARS = 12 * 1024 * 1024
-MEMO_WORDS = 500_000
+CHUNK_CHARS = 6 * 1024 * 1024
+MEMO_WORDS = 200_000
 _CHUNKS = ("keys array<string>, sizes array<long>, numbers binary, part_of binary, "
            "parts array<struct<part:int,lengths:binary,words:binary>>")
 
@@ -173,8 +173,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 starts[order] = np.cumsum(sizes_by_part) - sizes_by_part
                 numbers = _unplaned(r.numbers)
                 ends = np.cumsum(np.asarray(r.sizes, np.int64))
-                for lo in range(0, len(ends), 512):  # a few documents at a time
-                    hi = min(lo + 512, len(ends))
+                for lo in range(0, len(ends), 256):  # a few documents at a time
+                    hi = min(lo + 256, len(ends))
                     first = int(ends[lo - 1]) if lo else 0
                     own = numbers[first:int(ends[hi - 1])]
                     size = lengths[own]
