@@ -38,6 +38,7 @@ CENTROIDS = 32
 SAMPLE = 20_000
 ROUNDS = 12
 SHARE = 0.6
+LEAST = 20  # entries to walk at least, for each result wanted
 SHARD = 4096
 BLOCK = 1024
 CROWDED = 4.0
@@ -142,7 +143,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
     for r in entered.groupBy("cell").count().collect():
         weight[r["cell"]] = r["count"]
     weight = np.minimum(weight, CROWDED * max(1.0, weight[weight > 0].mean()))
-    enough = share * weight.sum()
+    enough = min(weight.sum(), max(share * weight.sum(), LEAST * k))
 
     def shard(batches):
         held = None

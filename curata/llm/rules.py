@@ -119,7 +119,8 @@ def js_distance(p: Column, q: Column) -> Column:
         m = (x + y) / 2
         return (term(x, m) + term(y, m)) / 2
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, pair), F.lit(0.0), lambda a, x: a + x)))
+    total = F.aggregate(F.zip_with(p, q, pair), F.lit(0.0), lambda a, x: a + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total)))
 
 
 def _references(rows: DataFrame) -> DataFrame:
