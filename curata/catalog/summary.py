@@ -61,12 +61,12 @@ def page_text_q(spark, sf_dir):
 WITH {O.page_items_cte()},
 keyed AS (SELECT *, sha1({O.normalize_url('url')}) AS url_fp FROM page_items),
 cache AS (SELECT url_fp, arg_min(content, item_id) AS content FROM keyed
-          WHERE item_id < 1000000 AND content <> '' GROUP BY url_fp)
+          WHERE item_id % 2 = 0 AND content <> '' GROUP BY url_fp)
 SELECT k.item_id, k.url_fp, CAST(coalesce(length(c.content), 0) AS INTEGER) AS content_chars
 FROM keyed k LEFT JOIN cache c USING (url_fp)""")
 def content_cache_q(spark, sf_dir):
     items = with_identity(page_items(spark, sf_dir))
-    landed = items.where(F.col("item_id") < 1_000_000)   # the landed pages themselves
+    landed = items.where(F.col("item_id") % 2 == 0)   # the landed pages themselves, not the copies
     cache = build_content_cache(landed)
     out = with_cached_content(items.drop("content"), cache)
     return out.select("item_id", "url_fp",
@@ -109,14 +109,14 @@ def extractive_summary_q(spark, sf_dir):
 
 def _prompt_sql() -> str:
     rel_line = ("lambda r: '- ' || r.related_title || CASE WHEN coalesce(r.related_summary, '') <> '' "
-                "THEN ' — ' || substring(r.related_summary, 1, 200) ELSE '' END")
+                "THEN ' — ' || r.related_summary ELSE '' END")
     return f"""
 WITH {RELATED_CTE}
 SELECT item_id,
   'TITLE: ' || title || chr(10) || 'SOURCE URL: ' || url
   || {O.q(chr(10) + 'BLOG FOCUS: ' + TEST_SCOPE.name)}
   || CASE WHEN {O.best_text()} <> '' THEN chr(10) || chr(10) || 'SOURCE TEXT:' || chr(10)
-          || substring({O.best_text()}, 1, 12000) ELSE '' END
+          || {O.best_text()} ELSE '' END
   || CASE WHEN len(related) > 0 THEN chr(10) || chr(10) || 'RELATED PRIOR ITEMS (for the comparison section):'
           || chr(10) || array_to_string(list_transform(related, {rel_line}), chr(10))
           ELSE chr(10) || chr(10) || 'RELATED PRIOR ITEMS: none' END AS prompt

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curata.operators.components import connected_components
+from curata.session import ship_package
 
 # in-batch insert groups of the archive write: kept rows, then in-batch
 # duplicates, then cross-run duplicates
@@ -56,49 +57,45 @@ _EVENT_SCHEMA = T.StructType([
 ])
 
 
+_KEPT, _REJECTED, _DISPLACED = 0, 1, 2
+
+
+class _Slots:
+    """The kept slots of one component. A key names the slot of the row that last
+    registered it; a slot has one holder, and only holders register keys."""
+
+    def __init__(self):
+        self.named: dict[tuple[str, str], int] = {}
+        self.holder: dict[int, tuple[int, float]] = {}
+
+    def admit(self, seq: int, weight: float, keys: list[tuple[str, str]]) -> list[tuple[int, int, int, int]]:
+        """Events (seq, slot, kind, at) that the arrival of a row causes."""
+        slot = next((self.named[k] for k in keys if k in self.named), seq)
+        held = self.holder.get(slot)
+        if held is not None and weight <= held[1]:
+            return [(seq, slot, _REJECTED, seq)]
+        self.holder[slot] = (seq, weight)
+        self.named.update(dict.fromkeys(keys, slot))
+        lost = [(held[0], slot, _DISPLACED, seq)] if held is not None else []
+        return [*lost, (seq, slot, _KEPT, seq)]
+
+
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Leader fold over rows sorted by (component, seq). State is per component:
-    registered URL keys, registered title keys, occupant (seq, weight) per slot."""
-    comp = None
-    seen_url: dict = {}
-    seen_title: dict = {}
-    occ: dict = {}
-    for b in batches:
-        out_seq, out_slot, out_kind, out_at = [], [], [], []
-        for c, s, w, u, t in zip(b["component"].to_numpy(), b["seq"].to_numpy(),
-                                 b["w"].to_numpy(), b["u"].tolist(), b["t"].tolist()):
-            if c != comp:
-                comp, seen_url, seen_title, occ = c, {}, {}, {}
-            s = int(s)
-            w = float(w)
-            clash = seen_url.get(u)
-            if clash is None and t is not None:
-                clash = seen_title.get(t)
-            if clash is None:
-                occ[s] = (s, w)
-                seen_url[u] = s
-                if t is not None:
-                    seen_title[t] = s
-                out_seq.append(s); out_slot.append(s); out_kind.append(0); out_at.append(s)
-                continue
-            inc_seq, inc_w = occ[clash]
-            if w > inc_w:
-                occ[clash] = (s, w)
-                seen_url[u] = clash
-                if t is not None:
-                    seen_title[t] = clash
-                out_seq.append(inc_seq); out_slot.append(clash); out_kind.append(2); out_at.append(s)
-                out_seq.append(s); out_slot.append(clash); out_kind.append(0); out_at.append(s)
-            else:
-                out_seq.append(s); out_slot.append(clash); out_kind.append(1); out_at.append(s)
-        yield pd.DataFrame({"seq": pd.Series(out_seq, dtype="int64"),
-                            "slot": pd.Series(out_slot, dtype="int64"),
-                            "kind": pd.Series(out_kind, dtype="int32"),
-                            "at": pd.Series(out_at, dtype="int64")})
+    """The leader rule over rows sorted by (component, seq); state is per component."""
+    current, slots = None, _Slots()
+    for rows in batches:
+        events = []
+        for row in rows.itertuples(index=False):
+            if row.component != current:
+                current, slots = row.component, _Slots()
+            keys = [(kind, key) for kind, key in (("url", row.u), ("title", row.t)) if key is not None]
+            events += slots.admit(int(row.seq), float(row.w), keys)
+        yield pd.DataFrame(events, columns=["seq", "slot", "kind", "at"])
 
 
 def _fold_mixed(mixed: DataFrame) -> DataFrame:
     """(component, seq, w, u, t) -> (seq, slot, dup, dup_at)."""
+    ship_package(mixed.sparkSession)
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = (mixed.repartition(n, "component")
               .sortWithinPartitions("component", "seq")

@@ -4,9 +4,7 @@ score = strong*w_s + normal*w_n + signals*w_a - exclude*w_x + source_weight*scal
 relevant <=> unrounded score >= min_score and (a strong hit or a signal hit).
 
 All hit lists are native ``rlike`` tests; no shuffle, the operator is a
-``Project`` inside whole-stage codegen. For vocabularies of thousands of terms,
-``keyword_hits_by_join`` finds the same hits with a broadcast join of word
-n-grams against a term table whose size is the scope's, not the data's.
+``Project`` inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -81,28 +79,3 @@ def scope_tags(scope: Scope, k: int = 5) -> Column:
     """Scope name (if any) then the first k strong hits; needs ``strong_hits``."""
     head = F.array(F.lit(scope.name)) if scope.name else F.array().cast("array<string>")
     return F.concat(head, F.slice(F.col("strong_hits"), 1, k))
-
-
-def keyword_hits_by_join(items: DataFrame, id_col: str, text: Column, terms: DataFrame,
-                         max_words: int) -> DataFrame:
-    """Hit lists for a large vocabulary by join instead of one regex per term.
-
-    ``terms``: (list string, ord int, term string) with terms made of word
-    characters separated by single spaces, at most ``max_words`` words. The text's
-    word n-grams (n <= max_words) are exploded and joined with the terms table
-    (broadcast when its size is under the broadcast threshold; the table grows with
-    the scope, never with the data). Returns (id, list, hits array<string> in
-    ``ord`` order). Exact for word-character terms, like the regex form."""
-    words = F.split(F.trim(F.regexp_replace(text, r"(?U)[^\w]+", " ")), " ")
-    grams = items.select(F.col(id_col).alias("_id"), words.alias("_w")).select(
-        "_id", F.explode(F.array_distinct(F.flatten(F.array(*[
-            F.when(F.size("_w") >= n, F.transform(
-                F.sequence(F.lit(0), F.size("_w") - n),
-                lambda i, n=n: F.array_join(F.slice("_w", i + 1, n), " ")))
-            .otherwise(F.array().cast("array<string>"))
-            for n in range(1, max_words + 1)])))).alias("term"))
-    hits = grams.join(terms, "term")
-    return (hits.groupBy("_id", "list")
-            .agg(F.array_sort(F.collect_set(F.struct("ord", "term"))).alias("_h"))
-            .select(F.col("_id").alias(id_col), "list",
-                    F.transform("_h", lambda x: x["term"]).alias("hits")))

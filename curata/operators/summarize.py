@@ -21,8 +21,6 @@ from pyspark.sql import types as T
 from curata.functions.text import col, sentences, strip_ws, top_sentences
 
 DEFAULT_FOCUS = "the AI tooling space"
-PROMPT_TEXT_CAP = 12000
-RELATED_SUMMARY_CAP = 200
 
 ANSWER_SCHEMA = T.StructType([
     T.StructField("what_changed", T.StringType()),
@@ -81,19 +79,25 @@ def extractive(inputs: DataFrame, scope_name: str = "", k: int = 3) -> DataFrame
     }).drop("_picked")
 
 
-def prompts(inputs: DataFrame, scope_name: str = "") -> DataFrame:
-    """The prompt table (item_id, prompt) for batch inference."""
+def prompts(inputs: DataFrame, scope_name: str = "", text_chars: int | None = None,
+            related_chars: int | None = None) -> DataFrame:
+    """The prompt table (item_id, prompt) for batch inference (P31). ``text_chars`` and
+    ``related_chars`` shorten the source text and the related summaries for a model with a
+    small window; None keeps them whole."""
+    def first(text, chars):
+        return text if chars is None else F.substring(text, 1, chars)
+
     body = best_text()
     related = F.coalesce(F.col("related"), F.array())
     rel_lines = F.transform(related, lambda r: F.concat(
         F.lit("- "), r["related_title"],
         F.when(F.coalesce(r["related_summary"], F.lit("")) != "",
-               F.concat(F.lit(" — "), F.substring(r["related_summary"], 1, RELATED_SUMMARY_CAP)))
+               F.concat(F.lit(" — "), first(r["related_summary"], related_chars)))
         .otherwise(F.lit(""))))
     parts = F.concat(
         F.lit("TITLE: "), F.col("title"), F.lit("\nSOURCE URL: "), F.col("url"),
         F.lit(f"\nBLOG FOCUS: {scope_name}") if scope_name else F.lit(""),
-        F.when(body != "", F.concat(F.lit("\n\nSOURCE TEXT:\n"), F.substring(body, 1, PROMPT_TEXT_CAP)))
+        F.when(body != "", F.concat(F.lit("\n\nSOURCE TEXT:\n"), first(body, text_chars)))
         .otherwise(F.lit("")),
         F.when(F.size(related) > 0, F.concat(
             F.lit("\n\nRELATED PRIOR ITEMS (for the comparison section):\n"), F.array_join(rel_lines, "\n")))

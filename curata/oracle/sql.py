@@ -189,7 +189,7 @@ def doc_items_cte(name: str = "items") -> str:
          source AS source_id,
          'https://www.' || source || '.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR)
            || '/?utm_source=feed&id=' || CAST(doc_id AS VARCHAR) AS url,
-         substring({first}, 1, 80) AS title,
+         {first} AS title,
          substring({collapse_ws('text')}, 1, 400) AS summary,
          text AS content, '' AS author,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS fetched_at,
@@ -202,10 +202,10 @@ def doc_items_cte(name: str = "items") -> str:
 def mixed_batch_cte(items: str = "items", name: str = "mixed") -> str:
     second = f"{sentences('content')}[2]"
     return f"""{name} AS (
-  SELECT * FROM {items}
+  SELECT * REPLACE (item_id * 2 AS seq) FROM {items}
   UNION ALL
-  SELECT item_id, item_id + 1000000000 AS seq, run_id, source_id, url,
-         substring({second}, 1, 80) AS title, summary, content, author, fetched_at, published_at,
+  SELECT item_id, item_id * 2 + 1 AS seq, run_id, source_id, url,
+         {second} AS title, summary, content, author, fetched_at, published_at,
          CAST(((item_id + 2) % 4) * 0.5 AS DOUBLE) AS source_weight, lang
   FROM {items} WHERE {second} IS NOT NULL)"""
 
@@ -221,7 +221,7 @@ def page_items_cte(name: str = "page_items") -> str:
                f"THEN regexp_replace({no_frag}, '^([A-Za-z]+://)www\\.', '\\1') "
                f"ELSE regexp_replace({no_frag}, '^([A-Za-z]+://)', '\\1www.') END")
     return f"""{name}_base AS (
-  SELECT page_id AS item_id, page_id AS seq, CAST(floor(page_id / 25) AS BIGINT) AS run_id,
+  SELECT page_id * 2 AS item_id, page_id * 2 AS seq, CAST(floor(page_id / 25) AS BIGINT) AS run_id,
          {host} AS source_id, url, {title} AS title,
          substring({collapse_ws(body)}, 1, 400) AS summary, {body} AS content, '' AS author,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(floor(page_id / 25) AS INTEGER)) AS fetched_at,
@@ -232,12 +232,12 @@ def page_items_cte(name: str = "page_items") -> str:
 {name} AS (
   SELECT * FROM {name}_base
   UNION ALL
-  SELECT item_id + 1000000 AS item_id, seq + 1000000 AS seq, run_id, 'aggregator' AS source_id,
+  SELECT item_id + 1 AS item_id, seq + 1 AS seq, run_id, 'aggregator' AS source_id,
          {toggled.replace('url', 'url')} || CASE WHEN contains({no_frag}, '?') THEN '&' ELSE '?' END
            || 'utm_medium=social' AS url,
          title || ' | Digest' AS title, summary, content, author, fetched_at, published_at,
-         CAST(((item_id + 1) % 4) * 0.5 AS DOUBLE) AS source_weight, lang
-  FROM {name}_base WHERE item_id % 3 = 0)"""
+         CAST(((item_id // 2 + 1) % 4) * 0.5 AS DOUBLE) AS source_weight, lang
+  FROM {name}_base WHERE item_id % 6 = 0)"""
 
 
 def relevance_select(scope, text: str = None, weight: str = "source_weight") -> str:

@@ -33,9 +33,13 @@ def discover(batch: DataFrame, archive: DataFrame, scope: Scope, run_id: int) ->
     b = with_identity(batch).withColumn("run_id", F.lit(run_id).cast("bigint"))
     d = dedupe(b, archive)
     scored = apply_relevance(d, scope)
-    status = F.when(F.col("status_dedup") == "duplicate", F.lit("duplicate")).otherwise(F.col("status"))
-    return scored.withColumn("status", status).withColumn(
-        "is_unique", F.col("insert_group") == GROUP_UNIQUE)
+    duplicate = F.col("status_dedup") == "duplicate"
+    # only unique rows are scored: duplicates keep no score and no reasons
+    return scored.withColumns({
+        "status": F.when(duplicate, F.lit("duplicate")).otherwise(F.col("status")),
+        "relevance_score": F.when(duplicate, F.lit(0.0)).otherwise(F.col("relevance_score")),
+        "relevance_reasons": F.when(duplicate, F.array().cast("array<string>")).otherwise(F.col("relevance_reasons")),
+        "is_unique": F.col("insert_group") == GROUP_UNIQUE})
 
 
 def run_report(result: DataFrame, inserted: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -48,9 +52,3 @@ def run_report(result: DataFrame, inserted: DataFrame, errors: DataFrame | None
         F.count_if(F.col("status") == "relevant").alias("relevant"),
         F.count_if(F.col("status") == "irrelevant").alias("irrelevant"))
     return rep.crossJoin(inserted.agg(F.count(F.lit(1)).alias("inserted")))
-
-
-def documents_run(spark: SparkSession, sf_dir: str, run_id: int, archive: DataFrame,
-                  scope: Scope = TEST_SCOPE) -> DataFrame:
-    items = document_items(spark, sf_dir).where(F.col("run_id") == run_id)
-    return discover(items, archive, scope, run_id)

@@ -1,9 +1,7 @@
 """Editorial scope: weighted keyword lists plus scoring weights.
 
 A scope is a driver-side parameter. Its term lists are folded into literal
-regular expressions (one ``rlike`` per term) by ``curata.functions.keywords``;
-very large vocabularies go through the n-gram join in
-``curata.operators.relevance.keyword_hits_by_join`` instead.
+regular expressions (one ``rlike`` per term) by ``curata.functions.keywords``.
 """
 
 from __future__ import annotations

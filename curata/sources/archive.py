@@ -7,10 +7,12 @@ so a retried run is idempotent and readers of earlier runs are unaffected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.session import materialize
+
 ITEM_SCHEMA = T.StructType([
     T.StructField("item_id", T.LongType()),
     T.StructField("run_id", T.LongType()),
@@ -51,8 +53,9 @@ def read_items(spark: SparkSession, path: str, before_run: int | None = None) ->
 
 def write_items(rows: DataFrame, path: str) -> None:
     """Append one run's rows, replacing only that run's partition."""
-    cols = [f.name for f in ITEM_SCHEMA.fields] + list(ITEM_ADDED_COLUMNS)
-    out = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in cols])
+    types = {f.name: f.dataType for f in ITEM_SCHEMA.fields} | {k: t for k, (t, _) in ITEM_ADDED_COLUMNS.items()}
+    out = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c)
+                        for c, t in types.items()])
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id").parquet(path))
 
@@ -76,15 +79,18 @@ def with_cached_content(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, order: list[str], start: int = 1, id_col: str = "id") -> DataFrame:
-    """Dense ids in ``order`` without a single-partition window (W3): range-sort,
-    count rows per partition (one small row per partition), prefix-sum the counts
-    on the driver-sized table, and add the offset to a per-partition row number."""
-    sorted_ = rows.orderBy(*order).withColumn("_pid", F.spark_partition_id())
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window
-    counts = sorted_.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.sum("_n").over(w.orderBy("_pid").rowsBetween(w.unboundedPreceding, -1)))
-    local = sorted_.withColumn("_rn", F.row_number().over(w.partitionBy("_pid").orderBy(*order)))
-    return (local.join(F.broadcast(offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))), "_pid")
-            .withColumn(id_col, (F.col("_off") + F.col("_rn") + F.lit(start - 1)).cast("bigint"))
-            .drop("_pid", "_rn", "_off"))
+    """Dense ids in ``order`` (columns that are unique together) without a
+    single-partition window (W3). The rows and, range-sorted, their keys with the number
+    of the sorted partition are each written once to the checkpoint folder; counts,
+    offsets (one small row per partition) and positions come from that one table of keys,
+    and the id joins back on the unique key, so no row can meet a partition other than
+    the one it was counted in."""
+    rows = materialize(rows)
+    keys = materialize(rows.select(*order).orderBy(*order).withColumn("_pid", F.spark_partition_id()))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    place = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    ids = (keys.withColumn("_rn", place).join(offsets, "_pid")
+           .select(*order, (F.col("_off") + F.col("_rn") + F.lit(start - 1)).cast("bigint").alias(id_col)))
+    return rows.join(ids, order)

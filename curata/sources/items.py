@@ -20,8 +20,11 @@ from curata.sources.pages import page_text
 from curata.sources.tables import read_table
 
 EPOCH = "2024-01-01 00:00:00"
-COPY_SEQ_OFFSET = 1_000_000_000
-PAGE_COPY_OFFSET = 1_000_000
+
+
+def _hours_after(count: str):
+    """EPOCH plus so many hours (long arithmetic, so any id fits)."""
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.col(count) * 3600)
 
 
 def items_from_documents(documents: DataFrame) -> DataFrame:
@@ -38,15 +41,12 @@ def items_from_documents(documents: DataFrame) -> DataFrame:
         F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.org/"), F.col("lang"),
                  F.lit("/"), F.col("doc_id"), F.lit("/?utm_source=feed&id="),
                  F.col("doc_id")).alias("url"),
-        F.substring(first, 1, 80).alias("title"),
+        first.alias("title"),
         F.substring(t, 1, 400).alias("summary"),
         F.col("text").alias("content"),
         F.lit("").alias("author"),
-        (F.to_timestamp(F.lit(EPOCH)) + F.make_interval(hours=F.col("doc_id").cast("int"))
-         ).alias("fetched_at"),
-        F.when(F.col("doc_id") % 10 != 0,
-               F.to_timestamp(F.lit(EPOCH)) + F.make_interval(hours=F.col("doc_id").cast("int"))
-               ).alias("published_at"),
+        _hours_after("doc_id").alias("fetched_at"),
+        F.when(F.col("doc_id") % 10 != 0, _hours_after("doc_id")).alias("published_at"),
         ((F.col("doc_id") % 4) * 0.5).cast("double").alias("source_weight"),
         F.col("lang"),
     )
@@ -54,16 +54,17 @@ def items_from_documents(documents: DataFrame) -> DataFrame:
 
 def mixed_batch(items: DataFrame) -> DataFrame:
     """The documents items plus a re-syndicated copy of every item whose text has a
-    second sentence: same URL, the second sentence as headline, another weight and a
-    later position. URL and title collisions interlock (leader dedup input)."""
+    second sentence: same URL, the second sentence as headline, another weight and the
+    next position (originals have even, copies odd ``seq``). URL and title collisions
+    interlock (leader dedup input)."""
     # the second sentence: after the first boundary, up to the next one or the end
     second = F.nullif(F.regexp_extract(collapse_ws("content"), r"^.*?[.!?] (.*?[.!?](?= )|.+$)", 1),
                       F.lit(""))
     copies = (items.where(second.isNotNull())
-              .withColumn("title", F.substring(second, 1, 80))
+              .withColumn("title", second)
               .withColumn("source_weight", (((F.col("item_id") + 2) % 4) * 0.5).cast("double"))
-              .withColumn("seq", F.col("item_id") + F.lit(COPY_SEQ_OFFSET)))
-    return items.unionByName(copies)
+              .withColumn("seq", F.col("item_id") * 2 + 1))
+    return items.withColumn("seq", F.col("item_id") * 2).unionByName(copies)
 
 
 def _host(url):
@@ -74,14 +75,15 @@ def _host(url):
 def items_from_pages(pages: DataFrame) -> DataFrame:
     """One item per landed page plus a re-syndicated copy of every page whose
     id is a multiple of 3 (www toggled, a tracking parameter added, a suffix on the
-    title): the copies are URL duplicates with other titles."""
+    title): the copies are URL duplicates with other titles. Pages have even ids (twice the
+    page's), copies odd ones."""
     title = strip_html(F.coalesce(
         F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")),
         F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)))
     body = F.coalesce(page_text("html"), F.lit(""))
     base = pages.select(
-        F.col("page_id").alias("item_id"),
-        F.col("page_id").alias("seq"),
+        (F.col("page_id") * 2).alias("item_id"),
+        (F.col("page_id") * 2).alias("seq"),
         F.floor(F.col("page_id") / 25).cast("bigint").alias("run_id"),
         _host(F.col("url")).alias("source_id"),
         F.col("url"),
@@ -101,12 +103,12 @@ def items_from_pages(pages: DataFrame) -> DataFrame:
                      ).otherwise(F.regexp_replace(no_frag, r"^([A-Za-z]+://)", "$1www."))
     copy_url = F.concat(toggled, F.when(no_frag.contains("?"), F.lit("&")).otherwise(F.lit("?")),
                         F.lit("utm_medium=social"))
-    copies = (base.where(F.col("item_id") % 3 == 0)
+    copies = (base.where(F.col("item_id") % 6 == 0)
               .withColumn("url", copy_url)
               .withColumn("title", F.concat(F.col("title"), F.lit(" | Digest")))
-              .withColumn("source_weight", (((F.col("item_id") + 1) % 4) * 0.5).cast("double"))
-              .withColumn("seq", F.col("item_id") + F.lit(PAGE_COPY_OFFSET))
-              .withColumn("item_id", F.col("item_id") + F.lit(PAGE_COPY_OFFSET))
+              .withColumn("source_weight", (((F.col("item_id") / 2 + 1).cast("bigint") % 4) * 0.5).cast("double"))
+              .withColumn("seq", F.col("seq") + 1)
+              .withColumn("item_id", F.col("item_id") + 1)
               .withColumn("source_id", F.lit("aggregator")))
     return base.unionByName(copies)
 

@@ -22,7 +22,8 @@ from curata.functions.urls import with_identity
 from curata.operators.dedup import insert_or_ignore
 from curata.plans.discovery import discover
 from curata.scope import Scope
-from curata.sources.archive import ITEM_SCHEMA, read_items, write_items
+from curata.session import materialize
+from curata.sources.archive import ITEM_SCHEMA, assign_ids, read_items, write_items
 from curata.sources.feeds import RSS_ITEM_SCHEMA, entries_to_items
 
 
@@ -33,6 +34,11 @@ def feed_stream(spark: SparkSession, root: str, source_id: str, weight: float =
     return entries_to_items(raw, F.lit(source_id), F.lit(weight), F.lit(""))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def _empty_archive(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ITEM_SCHEMA)
 
@@ -40,16 +46,18 @@ def _empty_archive(spark: SparkSession) -> DataFrame:
 def run_batch(batch: DataFrame, batch_id: int, archive_path: str, scope: Scope) -> None:
     """One micro-batch = one discovery run appended to the archive."""
     spark = batch.sparkSession
-    batch = batch.withColumn("seq", F.monotonically_increasing_id())  # arrival order in the batch
-    try:
-        archive = read_items(spark, archive_path, before_run=batch_id)
-    except Exception:  # noqa: BLE001 - no archive yet
-        archive = _empty_archive(spark)
+    # arrival order in the batch, fixed once for every branch of the plan
+    batch = materialize(batch.withColumn("seq", F.monotonically_increasing_id()))
+    exists = _exists(spark, archive_path)
+    archive = read_items(spark, archive_path, before_run=batch_id) if exists else _empty_archive(spark)
     result = discover(batch, with_identity(archive) if "url_fp" not in archive.columns else archive,
                       scope, batch_id)
     inserted = insert_or_ignore(result, archive.select("url_fp"),
                                 order=["insert_group", "insert_at", "seq"])
-    write_items(inserted.withColumn("fetched_at", F.current_timestamp()), archive_path)
+    last = archive.agg(F.max("item_id")).first()[0] or 0
+    numbered = assign_ids(inserted.drop("item_id"), ["insert_group", "insert_at", "seq"], start=last + 1,
+                          id_col="item_id")
+    write_items(numbered.withColumn("fetched_at", F.current_timestamp()), archive_path)
 
 
 def discover_stream(spark: SparkSession, root: str, source_id: str, archive_path: str,
