@@ -17,6 +17,7 @@ from curata.session import ensure_checkpoint_dir, ship_package
 from curata.sources.tables import table_path
 
 GROUP_BYTES = 1 << 20          # texts hashed in one numpy pass
+SCANNED_BYTES = 4 << 20        # texts whose hashes are held at a time
 _SEED = 20240229
 _U64 = np.uint64
 

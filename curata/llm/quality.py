@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import combine, hash_words, labelled_sample, remainder, whole_text
+from curata.llm.common import (SCANNED_BYTES, batched_bytes, combine, hash_words, labelled_sample, remainder,
+                               whole_text)
 
 BITS = 20
 SAMPLE = 8_000
@@ -40,13 +41,14 @@ _CLASSES = np.array([0 if b in (0x20, *range(9, 14)) else 1 if b >= 0x80 or chr(
 def _features(texts: list[bytes]):
     """(slots, values) of each text."""
     shift = np.uint64(64 - BITS)
-    for words in hash_words(texts, False, _CLASSES):
-        pairs = (combine(words, 2) >> shift).astype(np.int64)
-        pairs[words[1:] == words[:-1]] = _SAME
-        slots, counts = np.unique(np.concatenate([(words >> shift).astype(np.int64), pairs]), return_counts=True)
-        values = np.log1p(counts)
-        values /= np.sqrt((values * values).sum() + SHORT)
-        yield np.append(slots, BIAS), np.append(values, 1.0)
+    for few in batched_bytes(list(map(len, texts)), SCANNED_BYTES):
+        for words in hash_words(texts[few], False, _CLASSES):
+            pairs = (combine(words, 2) >> shift).astype(np.int64)
+            pairs[words[1:] == words[:-1]] = _SAME
+            slots, counts = np.unique(np.concatenate([(words >> shift).astype(np.int64), pairs]), return_counts=True)
+            values = np.log1p(counts)
+            values /= np.sqrt((values * values).sum() + SHORT)
+            yield np.append(slots, BIAS), np.append(values, 1.0)
 
 
 def _leader(z, n):

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import labelled_sample, remainder, scan_words, whole_text
+from curata.llm.common import SCANNED_BYTES, batched_bytes, labelled_sample, remainder, scan_words, whole_text
 
 BITS = 22
 SAMPLE = 8_000
@@ -59,10 +59,11 @@ def _features(texts: list[bytes]):
     """For each text (slots, sentence) arrays, an entry per feature; sentences numbered by
     the breaks before them."""
     shift = np.uint64(64 - BITS)
-    for found in scan_words(texts, True, _CLASSES, _BREAKS, PREFIXES):
-        words, sentence = found[0], found[1]
-        slots = np.concatenate([(x >> shift).astype(np.int64) for x in [words, *found[2:]]])
-        yield slots, sentence
+    for few in batched_bytes(list(map(len, texts)), SCANNED_BYTES):
+        for found in scan_words(texts[few], True, _CLASSES, _BREAKS, PREFIXES):
+            words, sentence = found[0], found[1]
+            slots = np.concatenate([(x >> shift).astype(np.int64) for x in [words, *found[2:]]])
+            yield slots, sentence
 
 
 def _present(slots: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
