@@ -155,7 +155,11 @@ def _with_verdicts(pages: DataFrame) -> DataFrame:
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     repeats = (keys.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
                .join(salted, ["digest", "salt"]).select("page_id", "digest", "response"))
-    return rows.join(repeats, ["page_id", "digest"], "left")
+    known = repeats.groupBy("page_id").agg(F.collect_list(F.struct("digest", "response")).alias("known"))
+    # one shuffle of the payloads: the join keeps the partitions by page id
+    met = rows.repartition("page_id").join(known, "page_id", "left")
+    own = F.filter("known", lambda x: x["digest"] == F.col("digest"))
+    return met.withColumn("response", F.get(own, F.lit(0))["response"]).drop("known")
 
 
 def write_bundles(pages: DataFrame, path: str) -> None:
@@ -183,7 +187,7 @@ def write_bundles(pages: DataFrame, path: str) -> None:
 
     rows = _with_verdicts(pages).select("page_id", "url", "html", "digest", F.col("response").cast("long"))
     rows = rows.withColumn("response", F.col("response").cast("string"))  # no rounding of null-bearing longs
-    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "digest")
+    rows = rows.sortWithinPartitions("page_id", "digest")
     rows.mapInPandas(run, _BUNDLES).write.option("compression", "uncompressed").parquet(f"{path}/bundles")
 
 
