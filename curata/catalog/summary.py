@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.similarity import THRESHOLD, TOP_K, relevant_items
+from curata.catalog.similarity import EVERY, THRESHOLD, TOP_K, relevant_items, searched
 from curata.functions.text import scored_sentences, sentences
 from curata.functions.urls import with_identity
 from curata.oracle import sql as O
@@ -29,7 +29,8 @@ w AS (SELECT tf.item_id, tf.term, tf.tf * (ln((n_docs + 1.0) / (df + 1.0)) + 1.0
       FROM tf JOIN dfs USING (term), nd),
 norms AS (SELECT item_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY item_id),
 dots AS (SELECT a.item_id, b.item_id AS related_item_id, sum(a.w * b.w) AS dot
-         FROM w a JOIN w b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY 1, 2),
+         FROM w a JOIN w b ON a.term = b.term AND a.item_id <> b.item_id
+         WHERE a.item_id % {EVERY} = 0 GROUP BY 1, 2),
 sims AS (SELECT d.item_id, d.related_item_id, d.dot / (na.nrm * nb.nrm) AS sim
          FROM dots d JOIN norms na ON na.item_id = d.item_id JOIN norms nb ON nb.item_id = d.related_item_id
          WHERE d.dot / (na.nrm * nb.nrm) >= {THRESHOLD}),
@@ -44,7 +45,7 @@ inp AS (SELECT rel.*, coalesce(relp.related, []) AS related FROM rel LEFT JOIN r
 
 def summary_inputs(spark, sf_dir):
     rel = relevant_items(spark, sf_dir)
-    related = related_arrays(find_related(rel, rel, TOP_K, THRESHOLD))
+    related = related_arrays(find_related(searched(rel), rel, TOP_K, THRESHOLD))
     return rel.join(related, "item_id", "left").withColumn(
         "related", F.coalesce("related", F.array().cast(
             "array<struct<related_item_id:bigint,related_title:string,related_url:string,"

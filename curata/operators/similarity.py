@@ -1,33 +1,38 @@
-"""Related priors: TF-IDF cosine similarity join with threshold and top-k.
+"""Related priors: TF-IDF cosine search with threshold and top-k.
 
-Plan (one job for all candidates, instead of re-tokenising the archive per
-candidate):
+Plan (one job for all candidates, instead of re-tokenising the archive per candidate):
 
-  tokens -> tf(id, term, tf)                     A4, explode + partial agg
+  tokens -> tf(id, term, tf)                     A4, explode + partial agg, written once
   df(term), N, idf = ln((N+1)/(df+1)) + 1        A5, partial agg, N is one row
-  w = tf * idf, norm = sqrt(sum w^2)             A6
-  candidate pairs by *prefix filtering*          J6 (exact for cosine >= t)
-  dot(a, b) / (|a| |b|) on candidates only       A7, prefix join + suffix corrections
+  norm = sqrt(sum (tf * idf)^2)                  A6
+  candidate terms x postings of these terms      J6, salted equi-join on term
+  dot(a, b) / (|a| |b|)                          A7, partial agg by pair
   sim >= t, top-k per candidate                  F7, T1 (WindowGroupLimit)
   title / url / summary of the prior             J7, late join on id
 
-Prefix filtering (Bayardo, Ma, Srikant, WWW 2007): terms are put in one global
-order, rarest first. A document only indexes the leading terms whose remaining
-(unit-length) suffix still has norm >= t; if two documents reach cosine >= t their
-first common term is in both prefixes. So pairs are generated only from rare
-terms and a hot term (in most documents) does not explode into all its pairs. The
-verification is exact, so the result equals the all-pairs join.
+Only the postings of terms that a candidate holds are joined, so the cost is the sum of df
+over the candidates' terms: linear in the archive for a queue of given size. At the low
+thresholds in use nearly every entry can contribute, so there is nothing to prune within a
+posting list. A term found in most documents is spread over ``SALTS`` join keys.
+
+A candidate that is not among the priors counts as one more document, for itself only:
+N + 1, and df + 1 for the terms it holds. The prior's norm changes only at shared terms, so
+the same join yields the correction.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.text import doc_text, tokens
 from curata.session import materialize
 
-EPS = 1e-9
+SALTS = 16
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
 def term_frequency(docs: DataFrame, id_col: str = "item_id",
@@ -44,69 +49,46 @@ def inverse_document_frequency(tf: DataFrame) -> DataFrame:
     n = tf.agg(F.count_distinct("id").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("df"))
     return (df.crossJoin(F.broadcast(n))   # one row
-            .withColumn("idf", F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0)
+            .withColumn("idf", _idf(F.col("n_docs"), F.col("df")))
             .select("term", "df", "idf", "n_docs"))
 
 
-def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, term, w, df, norm)."""
-    w = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"), "df")
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id")
-
-
-def split_prefix(vec: DataFrame, threshold: float) -> DataFrame:
-    """Marks each (id, term) entry as prefix or suffix. Terms are ordered rarest
-    first (df asc, term asc); an entry is in the prefix while the unit-length
-    suffix starting at it still has norm >= threshold."""
-    order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    u = vec.withColumn("u2", (F.col("w") / F.col("norm")) ** 2)
-    return u.withColumn("in_prefix", F.sqrt(F.sum("u2").over(order)) >= F.lit(threshold - EPS))
-
-
-def pair_dots(marked: DataFrame) -> DataFrame:
-    """Exact dot products of every pair (a < b) that can reach cosine >= threshold.
-
-    1. prefix(a) x prefix(b) on term gives the candidates and the part of the dot
-       over the terms in both prefixes;
-    2. common terms in suffix(a): candidates x suffix(a) on a, x vector(b) on (b, term);
-    3. common terms in suffix(b) and prefix(a): candidates x suffix(b) on b,
-       x prefix(a) on (a, term).
-    Suffixes are short (the low-weight tail), so 2 and 3 are a few rows per pair.
-    ``marked``: output of ``split_prefix`` (materialised by the caller)."""
-    pre = marked.where("in_prefix").select("id", "term", "w")
-    suf = marked.where(~F.col("in_prefix")).select("id", "term", "w")
-    a, b = pre.alias("a"), pre.alias("b")
-    part = (a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
-            .groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-            .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("d")))
-    part = materialize(part)
-    cands = part.select("a", "b")
-    full_b = marked.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    c2 = (cands.join(suf.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a")
-          .join(full_b, ["b", "term"])
-          .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("d")))
-    pre_a = pre.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    c3 = (cands.join(suf.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), "b")
-          .join(pre_a, ["a", "term"])
-          .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("d")))
-    return part.unionByName(c2).unionByName(c3).groupBy("a", "b").agg(F.sum("d").alias("dot"))
-
-
-def cosine_pairs(tf: DataFrame, threshold: float = 0.08) -> DataFrame:
-    """All ordered pairs (id, other) with cosine >= threshold, both directions:
-    (item_id, related_item_id, sim) with the unrounded ``sim``."""
-    idf = inverse_document_frequency(tf)
-    marked = materialize(split_prefix(tfidf(tf, idf), threshold))
-    norms = marked.select("id", "norm").distinct()
-    dots = (pair_dots(marked)
-            .join(norms.select(F.col("id").alias("a"), F.col("norm").alias("na")), "a")
-            .join(norms.select(F.col("id").alias("b"), F.col("norm").alias("nb")), "b")
-            .select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
+def _search(candidates: DataFrame, tf: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, related_item_id, sim >= threshold) of the candidates' terms (id, term, tf,
+    foreign 0/1) against the documents of ``tf``; an id is never its own prior."""
+    n = F.broadcast(tf.agg(F.count_distinct("id").alias("n")))   # one row
+    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_, df, foreign = F.col("n"), F.coalesce("df", F.lit(0)), F.col("foreign")
+
+    def squares(idf):
+        return F.sum((F.col("tf") * idf) ** 2)
+
+    norms = (tf.join(dfs, "term").crossJoin(n).groupBy(F.col("id").alias("related_item_id"))
+             .agg(squares(_idf(n_, df)).alias("inner2"), squares(_idf(n_ + 1, df)).alias("outer2")))
+    asked = (candidates.join(dfs, "term", "left").crossJoin(n)
+             .select(F.col("id").alias("item_id"), "term", "tf", "foreign",
+                     _idf(n_ + foreign, df + foreign).alias("idf"), _idf(n_ + foreign, df).alias("plain")))
+    own = asked.groupBy("item_id").agg(squares(F.col("idf")).alias("own2"))
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    postings = tf.select(F.col("id").alias("related_item_id"), "term", F.col("tf").alias("tf_b"),
+                         F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    dots = (spread.join(postings, ["term", "salt"]).where(F.col("item_id") != F.col("related_item_id"))
+            .groupBy("item_id", "related_item_id")
+            .agg(F.sum(F.col("tf") * F.col("tf_b") * F.col("idf") ** 2).alias("dot"),
+                 F.sum(F.col("tf_b") ** 2 * (F.col("idf") ** 2 - F.col("plain") ** 2)).alias("moved"),
+                 F.max("foreign").alias("foreign")))
+    prior2 = F.when(foreign == 0, F.col("inner2")).otherwise(F.col("outer2") + F.col("moved"))
+    return (dots.join(norms, "related_item_id").join(own, "item_id")
+            .select("item_id", "related_item_id", (F.col("dot") / F.sqrt(F.col("own2") * prior2)).alias("sim"))
             .where(F.col("sim") >= F.lit(threshold)))
-    return (dots.select(F.col("a").alias("item_id"), F.col("b").alias("related_item_id"), "sim")
-            .unionByName(dots.select(F.col("b").alias("item_id"), F.col("a").alias("related_item_id"), "sim")))
+
+
+def cosine_pairs(tf: DataFrame, candidates: DataFrame, threshold: float = 0.08) -> DataFrame:
+    """(item_id, related_item_id, unrounded sim) with cosine >= threshold: the documents of
+    ``tf`` whose id is in ``candidates`` (id) against all documents of ``tf``."""
+    tf = materialize(tf)
+    asked = tf.join(candidates.select("id").distinct(), "id", "left_semi")
+    return _search(asked.withColumn("foreign", F.lit(0)), tf, threshold)
 
 
 def top_k(pairs: DataFrame, k: int = 3) -> DataFrame:
@@ -120,18 +102,15 @@ def top_k(pairs: DataFrame, k: int = 3) -> DataFrame:
 
 def find_related(candidates: DataFrame, priors: DataFrame, top: int = 3,
                  min_similarity: float = 0.08, id_col: str = "item_id") -> DataFrame:
-    """Related priors for every candidate in one job. The corpus is candidates
-    plus priors (the relevant set when the candidates are relevant items: N4);
-    a candidate is never its own prior. Returns (item_id, related_item_id,
-    similarity, rank, related_title, related_url, related_summary)."""
-    corpus = candidates.select(id_col, "title", "summary").unionByName(
-        priors.select(id_col, "title", "summary")).dropDuplicates([id_col])
-    tf = term_frequency(corpus, id_col)
-    pairs = cosine_pairs(tf, min_similarity)
-    cand_ids = candidates.select(F.col(id_col).alias("item_id")).distinct()
-    prior_ids = priors.select(F.col(id_col).alias("related_item_id")).distinct()
-    pairs = pairs.join(cand_ids, "item_id", "left_semi").join(prior_ids, "related_item_id", "left_semi")
-    ranked = top_k(pairs, top)
+    """Related priors for every candidate in one job; a candidate is never its own prior,
+    and other candidates do not change its similarities (N4). Ids are unique on each side.
+    Returns (item_id, related_item_id, similarity, rank, related_title, related_url,
+    related_summary)."""
+    tf = materialize(term_frequency(priors, id_col))
+    known = priors.select(F.col(id_col).alias("id"), F.lit(0).alias("foreign"))
+    asked = (term_frequency(candidates, id_col).join(known, "id", "left")
+             .withColumn("foreign", F.coalesce("foreign", F.lit(1))))
+    ranked = top_k(_search(asked, tf, min_similarity), top)
     info = priors.select(F.col(id_col).alias("related_item_id"), F.col("title").alias("related_title"),
                          F.col("url").alias("related_url"), F.col("summary").alias("related_summary"))
     return ranked.join(info, "related_item_id").select(

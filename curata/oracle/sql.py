@@ -190,7 +190,7 @@ def doc_items_cte(name: str = "items") -> str:
          'https://www.' || source || '.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR)
            || '/?utm_source=feed&id=' || CAST(doc_id AS VARCHAR) AS url,
          {first} AS title,
-         substring({collapse_ws('text')}, 1, 400) AS summary,
+         {collapse_ws('text')} AS summary,
          text AS content, '' AS author,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS fetched_at,
          CASE WHEN doc_id % 10 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) END
@@ -223,7 +223,7 @@ def page_items_cte(name: str = "page_items") -> str:
     return f"""{name}_base AS (
   SELECT page_id * 2 AS item_id, page_id * 2 AS seq, CAST(floor(page_id / 25) AS BIGINT) AS run_id,
          {host} AS source_id, url, {title} AS title,
-         substring({collapse_ws(body)}, 1, 400) AS summary, {body} AS content, '' AS author,
+         {collapse_ws(body)} AS summary, {body} AS content, '' AS author,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(floor(page_id / 25) AS INTEGER)) AS fetched_at,
          CAST(NULL AS TIMESTAMP) AS published_at,
          CAST((page_id % 3) * 0.5 AS DOUBLE) AS source_weight,

@@ -38,9 +38,10 @@ def related_arrays(related: DataFrame) -> DataFrame:
 
 def generate(queue: DataFrame, relevant: DataFrame, scope: Scope, answers: DataFrame | None = None,
              top_k: int = 3, min_similarity: float = 0.08, min_words: int = 40,
-             max_words: int = 320, model: str = "") -> DataFrame:
-    """Drafts with quality verdicts for every queued item."""
-    related = related_arrays(find_related(queue, relevant, top_k, min_similarity))
+             max_words: int = 320, model: str = "", searched: DataFrame | None = None) -> DataFrame:
+    """Drafts with quality verdicts for every queued item. Related priors are looked for
+    on behalf of the ``searched`` items (the whole queue by default)."""
+    related = related_arrays(find_related(queue if searched is None else searched, relevant, top_k, min_similarity))
     inputs = (queue.join(related, "item_id", "left")
               .withColumn("related", F.coalesce("related", F.array().cast(
                   "array<struct<related_item_id:bigint,related_title:string,related_url:string,"

@@ -11,7 +11,6 @@ published_at timestamp, source_weight double, lang string.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ def items_from_documents(documents: DataFrame) -> DataFrame:
                  F.lit("/"), F.col("doc_id"), F.lit("/?utm_source=feed&id="),
                  F.col("doc_id")).alias("url"),
         first.alias("title"),
-        F.substring(t, 1, 400).alias("summary"),
+        t.alias("summary"),
         F.col("text").alias("content"),
         F.lit("").alias("author"),
         _hours_after("doc_id").alias("fetched_at"),
@@ -88,7 +87,7 @@ def items_from_pages(pages: DataFrame) -> DataFrame:
         _host(F.col("url")).alias("source_id"),
         F.col("url"),
         title.alias("title"),
-        F.substring(collapse_ws(body), 1, 400).alias("summary"),
+        collapse_ws(body).alias("summary"),
         body.alias("content"),
         F.lit("").alias("author"),
         (F.to_timestamp(F.lit(EPOCH)) + F.make_interval(days=F.floor(F.col("page_id") / 25).cast("int"))
@@ -113,36 +112,10 @@ def items_from_pages(pages: DataFrame) -> DataFrame:
     return base.unionByName(copies)
 
 
-# Derived item tables stand in for the archive's stored item table: they are
-# materialised once per session (persisted, MEMORY_AND_DISK; a lost executor
-# recomputes its partitions from the scan), so that filters pushed down by the
-# optimizer do not re-derive titles and summaries from the whole text per use.
-_MATERIALISED: dict = {}
-
-
-def _materialise(spark: SparkSession, key: tuple, build) -> DataFrame:
-    k = (id(spark), spark.sparkContext.applicationId) + key
-    df = _MATERIALISED.get(k)
-    if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        _MATERIALISED[k] = df
-    return df
-
-
-def release_materialised() -> None:
-    for df in _MATERIALISED.values():
-        df.unpersist()
-    _MATERIALISED.clear()
-
-
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-        return items_from_documents(docs)
-    return _materialise(spark, ("documents", sf_dir), build)
+    """Derived where they are read, so each query's columns and filters reach the scan."""
+    return items_from_documents(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        return items_from_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return _materialise(spark, ("pages", sf_dir), build)
+    return items_from_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
