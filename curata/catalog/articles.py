@@ -18,6 +18,7 @@ from curata.operators.relevance import apply_relevance
 from curata.operators.summarize import DEFAULT_FOCUS  # noqa: F401
 from curata.plans.generation import generate, work_queue
 from curata.scope import TEST_SCOPE
+from curata.session import materialize
 from curata.sources.answers import answers_from_labels
 from curata.sources.archive import assign_ids
 from curata.sources.items import document_items
@@ -115,7 +116,8 @@ SELECT item_id, strftime(coalesce(published_at, fetched_at), '%Y-%m-%d %H:%M:%S'
 FROM scored WHERE relevant AND item_id NOT IN (SELECT item_id FROM arts)
 ORDER BY coalesce(published_at, fetched_at) DESC, item_id DESC LIMIT 20""")
 def work_queue_q(spark, sf_dir):
-    items = apply_relevance(document_items(spark, sf_dir), TEST_SCOPE)
+    items = materialize(apply_relevance(document_items(spark, sf_dir), TEST_SCOPE).select(
+        "item_id", "run_id", "published_at", "fetched_at", "relevant", "status"))
     last = items.agg(F.max("run_id").alias("_m"))
     articles = (items.crossJoin(F.broadcast(last))          # one row
                 .where(F.col("relevant") & (F.col("run_id") < F.col("_m"))).select("item_id"))
