@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, bound: int = SAMPLE)
             slots, weights = fit([t.encode() for t in rows["text"]], rows["label"].tolist())
             yield pd.DataFrame({"slot": slots, "weight": weights})
 
-    got = sample.coalesce(1).mapInPandas(run, "slot long, weight double").toPandas()
+    got = sample.repartition(1).mapInPandas(run, "slot long, weight double").toPandas()
     return got["slot"].to_numpy(np.int64), got["weight"].to_numpy(np.float64)
 
 
