@@ -127,9 +127,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
                 for c in lloyd(part, CENTROIDS):
                     yield pd.DataFrame({"half": [half], "centre": [c.astype("<f8").tobytes()]})
 
-    fitted = rows.where(drawn).coalesce(1).mapInPandas(train, "half int, centre binary").collect()
+    fitted = rows.where(drawn).repartition(1).mapInPandas(train, "half int, centre binary").collect()
     if not fitted:  # a handful of rows may miss the sample: then all of them are it
-        fitted = rows.limit(CENTROIDS).coalesce(1).mapInPandas(train, "half int, centre binary").collect()
+        fitted = rows.limit(CENTROIDS).repartition(1).mapInPandas(train, "half int, centre binary").collect()
     centres = tuple(_matrix([r["centre"] for r in fitted if r["half"] == h], "<f8") for h in (0, 1))
     n_cells = len(centres[0]) * len(centres[1])
 
