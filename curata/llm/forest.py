@@ -153,7 +153,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
             yield _Scan(percent).feed(rows)
 
     edges = found.where("node is not null").select("tree", "key", "node", "n", "task", "at")
-    met = edges.coalesce(1).mapInPandas(across, "a long, b long")  # 2 * NEIGHBOURS rows a task
+    met = edges.repartition(1).mapInPandas(across, "a long, b long")  # 2 * NEIGHBOURS rows a task
     pairs = found.where("a is not null").select("a", "b").unionByName(met)
     return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"))
 
