@@ -10,10 +10,18 @@ components of links are groups.
   next ones in the order, the longest common prefixes, as long as the prefix is at least
   ``LEAST_DEPTH`` deep; so a sparse region is searched at that depth and a dense one only
   deeper. The first document of a region in a task is one more candidate of all its others,
-  which holds a dense region together. Work and candidates are linear in the documents; no
-  region's pairs are expanded, and a region of any size is spread by the range sort.
+  which holds a dense region together. These candidates are linear in the documents, and a
+  region of any size is spread by the range sort.
 * Links are confirmed on the full sets, recomputed for candidates only: first each
   document's strongest candidates, then every candidate pair that these did not connect.
+* A region (equal first ``LEAST_DEPTH`` hashes in a tree) with more rows than a window that
+  is still in several components is finished in two steps. Its row with the most links meets
+  all its others, which joins an original and copies edited in different places. Then every
+  pair of two components meets: rows outside the region's largest component go to all its
+  blocks of about ``BLOCK`` rows, where pairs are compared on their full sets unless their
+  signatures agree in too few places (a true link has so few with less than 1e-8). So each
+  pair that shares a region is linked, connected otherwise or compared, once. Only links
+  leave a task; its work is quadratic in rows that share regions but have no links.
 
 A pair of similarity 0.8 shares a prefix of four with probability 0.41 a tree, so 20 trees
 miss it with 3e-5 (0.9: 1e-9). The range sort's tasks hand their first and last rows to one
@@ -42,6 +50,7 @@ DEPTH = 6
 LEAST_DEPTH = 4
 NEIGHBOURS = 4
 SALTS = 16
+BLOCK = 2048
 _CHUNK = 4096
 _U64 = np.uint64
 _A = mix(np.arange(1, TREES * DEPTH + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15)) | _U64(1)
@@ -162,12 +171,19 @@ _COLUMNS = ["a", "b", "tree", "key", "node", "n", "task", "at"]
 _SCANNED = "a long, b long, tree int, key binary, node long, n long, task int, at long"
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the sets of the documents in ``wanted`` (doc_id)."""
     def make(batches):
         for batch in batches:
             yield pd.DataFrame({"node": batch["doc_id"], "shingles": [s.tobytes() for s in _sets(batch["text"], size)]})
 
+    texts = (docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+             .join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return stage(texts.mapInPandas(make, "node long, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
     def compare(batches):
         for batch in batches:
             ok = []
@@ -178,9 +194,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield batch.loc[ok, ["a", "b"]]
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = (docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-             .join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    sets = stage(texts.mapInPandas(make, "node long, shingles binary"), "sets")
+    sets = full_sets(wanted, docs, size)
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"))
     return both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
@@ -194,6 +208,85 @@ def _strongest(pairs: DataFrame) -> DataFrame:
     return best[0].unionByName(best[1]).distinct()
 
 
+def _salted(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their region; salted, as one may have a third of all rows."""
+    spread = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(
+        spread, ["region", "salt"]).drop("salt")
+
+
+def dense_rows(nodes: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """region, tree, node, n, root, hub (node, n, root) of the rows of regions that are larger than
+    a window and in several components; the hub is the region's row with the most links."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    prefix = F.substring("signature", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * LEAST_DEPTH))
+    rows = (nodes.join(groups, "node", "left").join(degrees, "node", "left")
+            .select("node", "n", "signature", F.coalesce("root", "node").alias("root"),
+                    F.coalesce("degree", F.lit(0)).alias("degree"), trees)
+            .select(F.xxhash64("tree", prefix).alias("region"), "tree", "node", "n", "root", "degree"))
+    regions = (rows.groupBy("region").agg(
+        F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.max(F.struct("degree", "node", "n", "root")).alias("hub"))
+        .where((F.col("m") > NEIGHBOURS + 1) & (F.col("low") < F.col("high"))).select("region", "hub"))
+    return _salted(rows.drop("degree"), regions)
+
+
+def hub_pairs(dense: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the hub of each region with the region's rows of other components."""
+    near = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    return (dense.where((F.col("root") != F.col("hub.root")) & near)
+            .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+
+
+def open_links(dense: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the links among all pairs of a region in different components."""
+    places, share = TREES * DEPTH, percent / 100
+    limit = places * share - 6 * (places * share * (1 - share)) ** 0.5
+    rows = (dense.select("region", "tree", "node", "n").join(groups, "node", "left")
+            .withColumn("root", F.coalesce("root", "node")))
+    parts = rows.groupBy("region", "root").agg(F.count("*").alias("c"))
+    regions = (parts.groupBy("region").agg(F.count("*").alias("parts"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
+               .where("parts > 1").select("region", F.col("top.root").alias("major"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    rows = stage(_salted(rows, regions), "open-rows")
+    sets = full_sets(rows.select(F.col("node").alias("doc_id")).distinct(), docs, size)
+    met = (rows.join(nodes.select("node", "signature").join(sets, "node"), "node")
+           .withColumn("home", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+           .withColumn("block", F.explode(F.when(F.col("root") == F.col("major"), F.array("home"))
+                                          .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))))
+
+    def run(rows):
+        keys = np.frombuffer(b"".join(rows["signature"]), ">u4").reshape(len(rows), places)
+        marks = keys.astype(np.uint8).T.copy()
+        prefixes = keys.reshape(len(rows), TREES, DEPTH)[:, :rows["tree"].iloc[0], :LEAST_DEPTH]
+        sets = [np.frombuffer(x, _U64) for x in rows["shingles"]]
+        node, n, root = (rows[c].to_numpy() for c in ("node", "n", "root"))
+        minor = root != rows["major"].to_numpy()
+        home, out = np.flatnonzero(rows["home"].to_numpy() == rows["block"].to_numpy()), []
+        here, away = marks[:, home], np.flatnonzero(minor)
+        for at in range(0, len(away), 128):
+            some = away[at:at + 128]
+            same = np.zeros((len(some), len(home)), np.uint8)
+            for place in range(places):
+                same += marks[place, some][:, None] == here[place]
+            ok = (same >= limit) & (root[some][:, None] != root[home])
+            ok &= 100 * np.minimum(n[some][:, None], n[home]) >= percent * np.maximum(n[some][:, None], n[home])
+            ok &= ~minor[home] | (node[some][:, None] < node[home])  # two minor rows meet in both home blocks
+            for x, found in zip(some, ok):
+                others = home[found]  # less those that meet in the region of an earlier tree
+                others = others[~(prefixes[others] == prefixes[x]).all(axis=2).any(axis=1)]
+                for i in range(0, len(others), 256):
+                    part = [sets[y] for y in others[i:i + 256]]
+                    every, sizes = np.concatenate(part), np.array([len(p) for p in part])
+                    hits = sets[x][np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)] == every
+                    both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    linked = others[i:i + 256][100 * both >= percent * (len(sets[x]) + sizes - both)]
+                    out += [(min(node[x], y), max(node[x], y)) for y in node[linked]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("region", "block").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
     rows = stage(_described(docs, size), "signatures")
@@ -210,7 +303,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     rest = stage(rest, "open-pairs")
     more = stage(confirmed(rest, docs, size, percent), "links")
-    groups = star_components(links.unionByName(more), "a", "b")
+    links = links.unionByName(more)
+    groups = star_components(links, "a", "b")
+    dense = stage(dense_rows(nodes.select("node", "n", "signature"), links, groups), "dense")
+    if not dense.isEmpty():
+        links = links.unionByName(stage(confirmed(stage(hub_pairs(dense, percent), "hub-pairs"), docs, size, percent), "links"))
+        groups = star_components(links, "a", "b")
+        links = links.unionByName(stage(open_links(dense, nodes, groups, docs, size, percent), "links"))
+        groups = star_components(links, "a", "b")
     # only sets with copies or links change a label; salted, as one set may have a third of all rows
     labels = (nodes.join(groups, "node", "left").where("copies > 1 or root is not null")
               .select("fingerprint", F.coalesce("root", "node").alias("root"))

@@ -147,6 +147,20 @@ def test_forest_holds_a_large_group_of_near_copies(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_forest_links_a_hub_with_copies_edited_in_different_places(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = [(5000, " ".join(base))]
+    for k in range(1000):
+        words = list(base)
+        for i in rng.choice(149, 15, replace=False):  # to the original 0.82, to each other under 0.8
+            words[2 * i + 1] = f"new{k}x{i}"
+        texts.append((k, " ".join(words)))
+    got = forest.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 2, 80)
+    assert {r.component_id for r in got} == {0}
+
+
 PAGES = [(4, "http://a/4", "<p>same</p>"), (9, None, "<p>same</p>"), (2, "http://a/2\r\nX: y", "<p>same</p>"), (1, "u", None),
          (3, "u", ""), (5, "u", "<p>ünlike"), (9, "u", "<p>same</p>"), (None, "u", "<p>same</p>"), (6, "u", "x" * 700_000)]
 
