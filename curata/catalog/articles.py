@@ -1,8 +1,8 @@
 """Queries for article generation.
 
 Generation runs over the whole relevant set (no queue limit), with model answers
-derived from ``labels`` and related priors for the searched items; the work queue query keeps its limit (the queue size is
-the feature) over the items that have no article yet.
+derived from ``labels`` and related priors for every item; the work queue query keeps its
+limit (the queue size is the feature) over the items that have no article yet.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.similarity import THRESHOLD, TOP_K, relevant_items, searched
+from curata.catalog.similarity import THRESHOLD, TOP_K, relevant_items
 from curata.catalog.summary import RELATED_CTE
 from curata.oracle import sql as O
 from curata.operators.quality import PLACEHOLDER_MARKERS
@@ -104,8 +104,7 @@ def generated(spark, sf_dir):
     rel = relevant_items(spark, sf_dir)
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     answers = answers_from_labels(labels, document_items(spark, sf_dir))
-    return generate(rel, rel, TEST_SCOPE, answers, TOP_K, THRESHOLD, MIN_WORDS, MAX_WORDS, MODEL,
-                    searched=searched(rel))
+    return generate(rel, rel, TEST_SCOPE, answers, TOP_K, THRESHOLD, MIN_WORDS, MAX_WORDS, MODEL)
 
 
 @register("work_queue", f"""

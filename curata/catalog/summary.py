@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.similarity import EVERY, THRESHOLD, TOP_K, relevant_items, searched
+from curata.catalog.similarity import EVERY, THRESHOLD, TOP_K, relevant_items
 from curata.functions.text import scored_sentences, sentences
 from curata.functions.urls import with_identity
 from curata.oracle import sql as O
@@ -45,7 +45,7 @@ inp AS (SELECT rel.*, coalesce(relp.related, []) AS related FROM rel LEFT JOIN r
 
 def summary_inputs(spark, sf_dir):
     rel = relevant_items(spark, sf_dir)
-    related = related_arrays(find_related(searched(rel), rel, TOP_K, THRESHOLD))
+    related = related_arrays(find_related(rel, rel, TOP_K, THRESHOLD))
     return rel.join(related, "item_id", "left").withColumn(
         "related", F.coalesce("related", F.array().cast(
             "array<struct<related_item_id:bigint,related_title:string,related_url:string,"
