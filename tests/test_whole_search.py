@@ -13,7 +13,7 @@ from tools.oracle_check import digest
 FILTER = f"\n         WHERE a.item_id % {EVERY} = 0 GROUP BY 1, 2"
 
 
-@pytest.mark.parametrize("name", ["articles", "quality_gate", "extractive_summary", "prompt_table"])
+@pytest.mark.parametrize("name", ["articles", "quality_gate", "extractive_summary", "prompt_table", "cosine_pairs"])
 def test_every_item_is_compared(spark, name):
     sql = driver.oracle_sql()[name]
     assert sql.count(FILTER) == 1
