@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curata.llm import bpe, forest, huffman, neighbours, oracle, packing, pagetext, quality, rules, suffixes, toxicity, warc
+from curata.llm import (
+    alignment, bpe, forest, huffman, neighbours, oracle, packing, pagetext, quality, rules, suffixes,
+    toxicity, turns, warc,
+)
 from curata.llm.common import read
 from curata.llm.tokens import vocabulary_path
 
@@ -57,6 +60,15 @@ def op10_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"),
+                           vocabulary_path("piece_bpe_32k.model"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired_digests(turns.damage(read(spark, sf_dir, "conversations")))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(read(spark, sf_dir, "documents"))
 
@@ -68,8 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_huffman_ids, op2_swap_packing, op3_lsh_forest, op4_seekable_warc, op5_mincut_html, op6_ftrl_quality,
-        op7_divergence_rules, op8_distinct_word_bpe, op9_multi_index, op10_mil_toxicity, op13_suffix_dedup,
-        pipeline)}
+        op7_divergence_rules, op8_distinct_word_bpe, op9_multi_index, op10_mil_toxicity,
+        op11_interval_alignment, op12_turn_repair, op13_suffix_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,8 +4,8 @@ A string of ``LENGTH`` bytes is removed where it also starts earlier. Every such
 (a window) is assigned to one of its own positions, its anchor: the leftmost smallest hash
 among its runs of ``GRAM`` bytes. Equal windows have their anchor at the same place, so only
 suffixes that begin with the same anchor run need comparing, and only about one position in
-thirty is an anchor. Whole texts are written once, packed in chunks (bucketed by chunk
-number, so that no later step shuffles them); each step sends questions about anchors to
+thirty is an anchor. Whole texts are written once with their anchors, packed in chunks
+(bucketed by chunk number, so that no later step shuffles them); each step sends questions about anchors to
 parts chosen by a hash and brings the answers back to the chunk:
 
 1. ``REPEATED``: is the anchor's run found elsewhere at all? (8 bytes an anchor.)
@@ -33,7 +33,6 @@ all others; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from hashlib import blake2b
 
 import numpy as np
@@ -41,13 +40,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import _BYTE, batched_bytes, mix, scratch, stage, whole_text
+from curata.llm.chunks import CHUNK_BYTES, bucketed, by_part, pack, part_count, unpack, with_answers
+from curata.llm.common import _BYTE, batched_bytes, mix, stage, whole_text
 
 LENGTH = 100                    # bytes of a repeated string
 GRAM = 40                       # bytes that an anchor is chosen by
 REACH = LENGTH - GRAM + 1       # places of a run within a window
-CHUNK_BYTES = 2 << 20
-PART_BYTES = 32 << 20           # bytes of text per part of the questions
 CROWDED = 4096                  # contexts of one run that are sorted in one part
 _SCAN = 1 << 20                 # windows looked at in one numpy pass
 _SORT_WINDOWS = 1 << 18         # windows sorted in one numpy pass
@@ -60,23 +58,11 @@ _LOW = _U64(0xFFFFFFFF)
 REPEATED, FIRST, SEVERAL, SORT, CROWD = 1, 2, 3, 4, 5
 _QUESTIONS = ("chunk long, part int, key binary, more binary, number binary, doc binary, pos binary, "
               "left binary, windows binary, bytes binary")
+_PACKED = ("keys array<string>, sizes binary, bytes long, blob binary, runs binary, steps binary, "
+           "before binary, windows binary")
 _POWERS: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """An array, its first bytes together, then its second ones, and so on, compressed."""
-    import zstandard
-    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
-    return zstandard.ZstdCompressor(level=1).compress(flat.T.tobytes())
-
-
-def unpack(data: bytes, dtype) -> np.ndarray:
-    import zstandard
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(dtype).reshape(-1)
-
-
 def _powers(n: int) -> list[np.ndarray]:
     """The powers of the base and of its inverse, modulo 2^64."""
     if n > len(_POWERS[0]):
@@ -239,7 +225,10 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         blob = zstandard.ZstdDecompressor().decompress(row.blob)
         self.data, self.buf = blob, np.frombuffer(blob, np.uint8)
-        self.anchor, self.first, self.last, self.run = anchors(self.buf, self.ends)
+        self.anchor = np.cumsum(unpack(row.steps, np.uint32).astype(np.int64))
+        self.first = self.anchor - unpack(row.before, np.uint8)
+        self.last = self.first + unpack(row.windows, np.uint8) - 1
+        self.run = unpack(row.runs, _U64)
         document = np.searchsorted(self.ends, self.anchor, "right")
         known = np.array([_LAST if k is None else int(k) for k in self.keys], np.int64)
         self.doc = known[document]
@@ -319,7 +308,7 @@ class Chunk:
         for step in range(REPEATED, until):
             key = self.ask(step)["key"]
             answer = np.zeros(len(key), _U64)
-            for part, own in _by_part(key, parts):
+            for part, own in by_part(key, parts):
                 answer[own] = unpack(held[step][part], _U64 if step == SORT else np.uint8)
             self.learn(step, answer)
 
@@ -341,15 +330,6 @@ class Chunk:
         return cuts[:-1][pieces], cuts[1:][pieces]
 
 
-def _by_part(key: np.ndarray, parts: int):
-    """(part, entries) for each part that has some, entries in ascending order."""
-    part = (mix(key) % _U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(key) else []
-    for own in np.split(order, edges[1:]) if len(key) else []:
-        yield int(part[own[0]]), own
-
-
 def _sort_answer(rows: list) -> list[np.ndarray]:
     """For each context a mask: bit o is set where the window that starts o bytes before the
     anchor also starts earlier. Contexts of one run are compared by the suffix sort."""
@@ -418,16 +398,22 @@ def _answers(step: int, rows: list, crowded: int) -> list[np.ndarray]:
     return np.split(answer, np.cumsum(sizes)[:-1])
 
 
-def _chunked(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, keys, sizes, blob, bytes): whole texts packed, written in buckets of ``chunk``."""
+def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, keys, sizes, bytes, blob and the anchors): whole texts packed, written in
+    buckets of ``chunk``."""
     def run(batches):
         import zstandard
         keys, texts, held = [], [], 0
 
         def row():
-            sizes = np.array([len(t) for t in texts], np.int64)
-            return pd.DataFrame({"keys": [keys], "sizes": [pack(sizes)], "bytes": [int(sizes.sum())],
-                                 "blob": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]})
+            sizes, data = np.array([len(t) for t in texts], np.int64), b"".join(texts)
+            at, first, last, runs = anchors(np.frombuffer(data, np.uint8), np.cumsum(sizes))
+            return pd.DataFrame({
+                "keys": [keys], "sizes": [pack(sizes)], "bytes": [len(data)],
+                "blob": [zstandard.ZstdCompressor(level=3).compress(data)], "runs": [pack(runs)],
+                "steps": [pack(np.diff(at, prepend=0).astype(np.uint32))],
+                "before": [pack((at - first).astype(np.uint8))],
+                "windows": [pack((last - first + 1).astype(np.uint8))]})
 
         for batch in batches:
             for key, text in zip(batch["key"], batch["data"]):
@@ -440,18 +426,9 @@ def _chunked(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
         if keys:
             yield row()
 
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("key"),
                        whole_text().cast("binary").alias("data"))
-    packed = (rows.mapInPandas(run, "keys array<string>, sizes binary, bytes long, blob binary")
-              .withColumn("chunk", F.monotonically_increasing_id()))
-    name = f"suffixes_{uuid.uuid4().hex}"
-    (packed.write.bucketBy(buckets, "chunk").option("path", scratch(spark, "suffix-chunks"))
-     .option("compression", "uncompressed").format("parquet").saveAsTable(name))
-    table = spark.table(name)
-    table.schema  # resolved with its buckets; the entry in the catalog is not needed any more
-    spark.sql(f"DROP TABLE {name}")
-    return table
+    return bucketed(rows.mapInPandas(run, _PACKED), "suffix-chunks")
 
 
 def _exchange(chunks: DataFrame, answers: DataFrame | None, step: int, parts: int, crowded: int) -> DataFrame:
@@ -463,7 +440,7 @@ def _exchange(chunks: DataFrame, answers: DataFrame | None, step: int, parts: in
                 chunk.replay(getattr(row, "answers", None), step, parts)
                 sent = chunk.ask(step)
                 out = []
-                for part, own in _by_part(sent["key"], parts):
+                for part, own in by_part(sent["key"], parts):
                     entry = {"chunk": chunk.chunk, "part": part}
                     for name, values in sent.items():
                         entry[name] = (_packed_bytes([values[i] for i in own.tolist()]) if name == "bytes"
@@ -479,7 +456,7 @@ def _exchange(chunks: DataFrame, answers: DataFrame | None, step: int, parts: in
             yield pd.DataFrame({"chunk": [r.chunk for r in rows], "step": step, "part": [r.part for r in rows],
                                 "answer": [pack(x) for x in found]})
 
-    asked = _with(chunks, answers).mapInPandas(ask, _QUESTIONS)
+    asked = with_answers(chunks, answers).mapInPandas(ask, _QUESTIONS)
     got = asked.repartition(parts, "part").mapInPandas(answer, "chunk long, step int, part int, answer binary")
     return stage(got, f"suffix-answers-{step}")
 
@@ -489,20 +466,11 @@ def _packed_bytes(pieces: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(pieces))
 
 
-def _with(chunks: DataFrame, answers: DataFrame | None) -> DataFrame:
-    if answers is None:
-        return chunks
-    own = answers.groupBy("chunk").agg(F.collect_list(F.struct("step", "part", "answer")).alias("answers"))
-    return chunks.join(own.hint("shuffle_hash"), "chunk", "left")
-
-
 def remove_repeats(docs: DataFrame, crowded: int = CROWDED, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start,length>>, kept binary) of every row of
     ``docs`` (doc_id, text): the text's bytes without the repeated ones."""
-    spark = docs.sparkSession
-    chunks = _chunked(docs, int(spark.conf.get("spark.sql.shuffle.partitions")), chunk_bytes)
-    size = chunks.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES), spark.sparkContext.defaultParallelism)
+    chunks = _chunked(docs, chunk_bytes)
+    parts = part_count(chunks)
     answers = None
     for step in (REPEATED, FIRST, SEVERAL, SORT, CROWD):
         new = _exchange(chunks, answers, step, parts, crowded)
@@ -529,7 +497,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED, chunk_bytes: int = C
                                     "spans": [{"start": a - int(heads[i]), "length": b - a} for a, b in own]})
                     yield pd.DataFrame(out)
 
-    done = _with(chunks, answers).mapInPandas(
+    done = with_answers(chunks, answers).mapInPandas(
         finish, "key string, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
     return done.select(F.col("key").cast("long").alias("doc_id"), "n_bytes", "spans", "kept")
 
