@@ -6,8 +6,9 @@ Encoding, in four steps:
    of documents (about ``CHUNK_CHARS``) becomes its list of distinct words and, for every
    pre-token in order, its word's number in that list.
 2. The distinct words of all chunks are exploded into parts by a hash of the word and
-   shuffled by it; where equal words meet, each is merged once (a bounded memo), and the
-   part's ids go back to its chunk in the order of its words.
+   shuffled by it. Where equal words meet, each distinct word is merged once; the part's ids
+   go back to its chunk in the order of its words. Parts follow the bytes of text, so the
+   distinct words that one part holds do not grow with the data.
 3. The parts of a chunk are gathered: its dictionary, bounded by the chunk.
 4. Chunks join their dictionaries by chunk number and put the ids in place of the numbers,
    position by position. Chunks are written in buckets of that number, so that the
@@ -24,7 +25,6 @@ rows are encoded each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import uuid
 import zlib
 from functools import lru_cache
 
@@ -34,10 +34,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import scratch, whole_text
+from curata.llm.chunks import PART_BYTES, bucketed, pack, unpack
+from curata.llm.common import whole_text
 
-CHUNK_CHARS = 6 * 1024 * 1024
-MEMO_WORDS = 200_000
+CHUNK_CHARS = 3 << 20
 _CHUNKS = ("keys array<string>, sizes array<long>, numbers binary, part_of binary, "
            "parts array<struct<part:int,lengths:binary,words:binary>>")
 
@@ -54,7 +54,7 @@ def _merger(path: str):
     import public_tokenizers
     import tiktoken
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-    return own._encode_single_piece
+    return own.encode_ordinary
 
 
 class _Numbers(dict):
@@ -66,29 +66,18 @@ class _Numbers(dict):
 
 
 class _Merged(dict):
-    """word's bytes -> its ids, bounded."""
+    """word's bytes -> its ids; each word is merged once. A pre-token stays one match of the
+    pattern when it stands alone."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word):
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        got = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        got = self[word] = np.array(self.encode(word.decode()), "<u4").tobytes()
         return got
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """uint32 numbers, their first bytes together, then their second ones, and so on:
-    small numbers compress better so."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
 def _pieces(data: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
     return [data[a:b] for a, b in zip([0, *ends], ends)]
@@ -97,7 +86,7 @@ def _pieces(data: bytes, lengths: np.ndarray) -> list[bytes]:
 def _chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     def run(batches):
         import zstandard
-        split, pack = regex.compile(pattern).findall, zstandard.ZstdCompressor().compress
+        split, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor().compress
         numbers, keys, sizes, found, held = _Numbers(), [], [], [], 0
 
         def row():
@@ -108,16 +97,18 @@ def _chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
             for own in np.split(order, np.flatnonzero(np.diff(part_of[order])) + 1):
                 if len(own):
                     mine = [words[i] for i in own.tolist()]
-                    packed.append({"part": int(part_of[own[0]]), "words": pack(b"".join(mine)),
-                                   "lengths": pack(_planes(np.array([len(w) for w in mine], "<u4")))})
-            return pd.DataFrame({"keys": [keys], "sizes": [sizes], "numbers": [_planes(np.concatenate(found))],
-                                 "part_of": [part_of.tobytes()], "parts": [packed]})
+                    packed.append({"part": int(part_of[own[0]]), "words": squeeze(b"".join(mine)),
+                                   "lengths": pack(np.array([len(w) for w in mine], "<u4"), 3)})
+            return pd.DataFrame({"keys": [keys], "sizes": [sizes], "numbers": [pack(np.concatenate(found), 3)],
+                                 "part_of": [pack(part_of, 3)], "parts": [packed]})
 
         for batch in batches:
             for key, text in zip(batch["key"], batch["text"]):
                 if keys and held + len(text) > CHUNK_CHARS:
-                    yield row()
+                    full = row()
                     numbers, keys, sizes, found, held = _Numbers(), [], [], [], 0
+                    yield full
+                    del full
                 own = np.array([numbers[w] for w in split(text)], "<u4")
                 keys.append(key)
                 sizes.append(len(own))
@@ -127,29 +118,24 @@ def _chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("key"), whole_text().alias("text"))
-    return rows.mapInPandas(run, _CHUNKS).withColumn("chunk", F.monotonically_increasing_id())
+    return bucketed(rows.mapInPandas(run, _CHUNKS), "bpe-chunks")
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text), ids as little-endian uint32."""
-    spark = docs.sparkSession
-    name, path = f"bpe_{uuid.uuid4().hex}", scratch(spark, "bpe-chunks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (_chunked(docs, pattern, parts).write.bucketBy(parts, "chunk").option("path", path)
-     .option("compression", "zstd").format("parquet").saveAsTable(name))
-    chunks = spark.table(name)
+    size = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+    chunks = _chunked(docs, pattern, parts)
 
     def merge(batches):
         import zstandard
-        merged, pack = _Merged(_merger(vocabulary)), zstandard.ZstdCompressor().compress
-        unpack = zstandard.ZstdDecompressor().decompress
+        merged, expand = _Merged(_merger(vocabulary)), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
             for lengths, words in zip(batch["lengths"], batch["words"]):
-                ids = [merged[w] for w in _pieces(unpack(words), _unplaned(unpack(lengths)))]
+                ids = [merged[w] for w in _pieces(expand(words), unpack(lengths, "<u4"))]
                 sizes = np.array([len(x) // 4 for x in ids], "<u4")
-                out.append((pack(_planes(sizes)),
-                            pack(_planes(np.frombuffer(b"".join(ids), "<u4")))))
+                out.append((pack(sizes, 3), pack(np.frombuffer(b"".join(ids), "<u4"), 3)))
             yield pd.DataFrame({"chunk": batch["chunk"], "part": batch["part"], "sizes": [x for x, _ in out],
                                 "ids": [y for _, y in out]})
 
@@ -159,19 +145,17 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("part", F.col("sizes").alias("n"), "ids"))).alias("dictionary"))
 
     def place(batches):
-        import zstandard
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for r in batch.itertuples(index=False):
-                order = np.argsort(np.frombuffer(r.part_of, "<u4"), kind="stable")
+                order = np.argsort(unpack(r.part_of, "<u4"), kind="stable")
                 entries = r.dictionary if r.dictionary is not None else []
-                by_part = [_unplaned(unpack(e["n"])) for e in entries]
-                ids = np.concatenate([_unplaned(unpack(e["ids"])) for e in entries] or [np.zeros(0, "<u4")])
+                by_part = [unpack(e["n"], "<u4") for e in entries]
+                ids = np.concatenate([unpack(e["ids"], "<u4") for e in entries] or [np.zeros(0, "<u4")])
                 sizes_by_part = np.concatenate(by_part or [np.zeros(0, "<u4")]).astype(np.int64)
                 lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
                 lengths[order] = sizes_by_part
                 starts[order] = np.cumsum(sizes_by_part) - sizes_by_part
-                numbers = _unplaned(r.numbers)
+                numbers = unpack(r.numbers, "<u4")
                 ends = np.cumsum(np.asarray(r.sizes, np.int64))
                 for lo in range(0, len(ends), 256):  # a few documents at a time
                     hi = min(lo + 256, len(ends))

@@ -19,11 +19,11 @@ CHUNK_BYTES = 2 << 20           # bytes of text a chunk holds, unless one docume
 PART_BYTES = 32 << 20           # bytes of text per part of the questions
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """An array, its first bytes together, then its second ones, and so on, compressed."""
     import zstandard
     flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
-    return zstandard.ZstdCompressor(level=1).compress(flat.T.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(flat.T.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
