@@ -11,9 +11,10 @@ the ends before it. Within groups each A token is linked to every B token that i
    one row per id of the vocabulary) is merged and broadcast: its bound is the vocabulary.
 3. Chunks make the links again from the ids and add up counts per document.
 
-A pair that a third of all links hold is one entry a chunk. White space ends every piece of
-B's vocabulary but runs of spaces, and A splits texts by its pattern, so ids of plain
-(Latin) texts are taken from bounded memos of words; other texts go to the libraries whole.
+A pair that a third of all links hold is one entry a chunk. Plain (Latin) texts take faster
+ways to the same ids: A's vocabulary as merge ranks, and B word by word from a bounded memo
+(no piece of B joins a word to what follows a space or line feed); others, and words whose
+tokens lose bytes, go to the libraries whole.
 
 Defined results: texts that are null, empty, or whose tokens do not give back the space and
 the text have no tokens, zeros and the empty groups string; null ids stay null; repeated
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,32 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.chunks import CHUNK_BYTES, bucketed, by_part, pack, part_count, unpack, with_answers
-from curata.llm.common import stage, whole_text
+from curata.llm.common import batched_bytes, stage, whole_text
 from curata.llm.tokens import _PLAIN, _byte_letters
 
-MEMO_WORDS = 150_000
+MEMO_WORDS = 200_000
+_ENCODED = 1 << 20               # characters whose words are looked up together
 _PACKED = "keys array<string>, sizes_a binary, sizes_b binary, a binary, b binary, bytes long"
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _U64 = np.uint64
 
 
-class _Memo(dict):
-    """piece of text -> its ids as uint16 bytes, bounded."""
-
-    def __init__(self, ids_of, token_bytes: list[bytes]):
-        super().__init__()
-        self.ids_of, self.token_bytes = ids_of, token_bytes
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.ids_of(piece)
-        if b"".join([self.token_bytes[i] for i in ids]) != piece.encode():
-            raise LookupError(piece)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        got = self[piece] = np.array(ids, np.uint16).tobytes()
-        return got
-
-
 class Tokenizers:
     """Ids of a text by both vocabularies, as arrays, or None where they lose bytes."""
 
@@ -70,10 +56,10 @@ class Tokenizers:
         from tokenizers import Tokenizer
         self.whole_a = Tokenizer.from_file(byte_vocabulary)
         self.whole_a.encode_special_tokens = True
-        letters = _byte_letters()
-        back = {c: b for b, c in letters.items()}
+        back = {c: b for b, c in _byte_letters().items()}
         with open(byte_vocabulary, encoding="utf-8") as f:
-            entries = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
+        entries = model["vocab"]
         self.bytes_a = [b""] * max(self.whole_a.get_vocab_size(), max(entries.values()) + 1)
         for entry, i in entries.items():
             self.bytes_a[i] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
@@ -85,31 +71,54 @@ class Tokenizers:
                                 else piece.replace("▁", " ").encode())
         self.lengths_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.lengths_b = np.array([len(t) for t in self.bytes_b], np.int64)
-        model = self.whole_a.model
-        self.words_a = _Memo(lambda w: [t.id for t in model.tokenize("".join(map(letters.__getitem__, w.encode())))],
-                             self.bytes_a)
-        # after a line feed no piece can join what came before; the first two ids stand for " \n"
-        self.words_b = _Memo(lambda w: self.whole_b.encode("\n" + w, num_threads=1)[2:], self.bytes_b)
-        self.split_a = regex.compile(public_tokenizers.PATTERN).findall
+        self.plain_a = self._ranked(model, public_tokenizers.PATTERN)
+        self.words_b: dict[str, bytes] = {}
         self.split_b = regex.compile(r" +[^ \n]*|[^ \n]+|\n").findall
 
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Both tokenizers' ids as uint16 bytes."""
-        if not text:
+    def _ranked(self, model: dict, pattern: str):
+        """The same vocabulary for the faster of two libraries, if its merges rank as its ids."""
+        import tiktoken
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"][x + y] for x, y in pairs]
+        if made != sorted(made):
             return None
-        if _PLAIN.fullmatch(text):
-            spaced = " " + text
-            try:
-                return (b"".join(map(self.words_a.__getitem__, self.split_a(spaced))),
-                        b"".join(map(self.words_b.__getitem__, self.split_b(spaced))))
-            except LookupError:
-                pass
+        ranks = {self.bytes_a[i]: i for i in [*(i for i, t in enumerate(self.bytes_a) if len(t) == 1), *made]}
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _pieces_b(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of plain texts; each distinct piece of text between spaces and line feeds that
+        the memo does not know is encoded once. After a line feed no piece can join what came
+        before it, so the first two ids, of " \\n", are cut off."""
+        split = [self.split_b(" " + t) for t in texts]
+        wanted = set().union(*split)
+        if len(self.words_b) + len(wanted) > MEMO_WORDS:
+            self.words_b.clear()
+        new = [w for w in wanted if w not in self.words_b]
+        for word, ids in zip(new, self.whole_b.encode(["\n" + w for w in new], num_threads=1)):
+            if b"".join([self.bytes_b[i] for i in ids[2:]]) == word.encode():
+                self.words_b[word] = array("H", ids[2:]).tobytes()
+        known = self.words_b
+        return [b"".join([known[w] for w in words]) if all(w in known for w in words) else None for words in split]
+
+    def _whole(self, text: str) -> tuple[bytes, bytes] | None:
         a = self.whole_a.encode(" " + text, add_special_tokens=False).ids
         b = self.whole_b.encode(text, num_threads=1)
         want = b" " + text.encode()
         if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
             return None
-        return np.array(a, np.uint16).tobytes(), np.array(b, np.uint16).tobytes()
+        return array("H", a).tobytes(), array("H", b).tobytes()
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Both tokenizers' ids of each text as uint16 bytes."""
+        found: list[tuple[bytes, bytes] | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and self.plain_a is not None and _PLAIN.fullmatch(t)]
+        for i, b in zip(plain, self._pieces_b([texts[i] for i in plain]) if plain else []):
+            if b is not None:
+                found[i] = array("H", self.plain_a.encode_ordinary(" " + texts[i])).tobytes(), b
+        for i, text in enumerate(texts):
+            if text and found[i] is None:
+                found[i] = self._whole(text)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -182,13 +191,15 @@ def _chunked(docs: DataFrame, vocabularies: tuple[str, str], chunk_bytes: int) -
                                  "b": [squeeze(b"".join(y for _, y in found))], "bytes": [held]})
 
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
-                if keys and held + len(text) > chunk_bytes:
-                    yield row()
-                    keys, found, held = [], [], 0
-                keys.append(key)
-                found.append(known.encode(text) or (b"", b""))
-                held += len(text)
+            all_keys, texts = batch["key"].tolist(), batch["text"].tolist()
+            for some in batched_bytes([len(t) for t in texts], _ENCODED):
+                for key, text, ids in zip(all_keys[some], texts[some], known.encode(texts[some])):
+                    if keys and held + len(text) > chunk_bytes:
+                        yield row()
+                        keys, found, held = [], [], 0
+                    keys.append(key)
+                    found.append(ids or (b"", b""))
+                    held += len(text)
         if keys:
             yield row()
 

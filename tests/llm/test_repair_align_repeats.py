@@ -98,11 +98,12 @@ def test_alignment_equals_groups_and_links_made_by_hand(spark):
 
 def test_word_memos_give_the_libraries_ids(spark):
     known = alignment.tokenizers(BYTES, PIECES)
-    for r in read(spark, SF001, "documents").limit(100).collect():
-        got = known.encode(r.text)
+    assert known.plain_a is not None
+    texts = [r.text for r in read(spark, SF001, "documents").collect()]
+    for text, got in zip(texts, known.encode(texts)):
         assert got and np.frombuffer(got[0], np.uint16).tolist() == known.whole_a.encode(
-            " " + r.text, add_special_tokens=False).ids
-        assert np.frombuffer(got[1], np.uint16).tolist() == known.whole_b.encode(r.text)
+            " " + text, add_special_tokens=False).ids
+        assert np.frombuffer(got[1], np.uint16).tolist() == known.whole_b.encode(text)
 
 
 def test_no_piece_joins_a_word_to_a_following_space():
