@@ -83,6 +83,24 @@ def _pieces(data: bytes, lengths: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
+class TokenBytes:
+    """The table of token bytes, for joining many at once."""
+
+    def __init__(self, vocabulary: str):
+        table = ranks(vocabulary)
+        known = [b""] * (max(table.values()) + 1)
+        for token, i in table.items():
+            known[i] = token
+        self.lengths = np.array([len(t) for t in known], np.int64)
+        self.flat = np.frombuffer(b"".join(known), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def join(self, ids: np.ndarray) -> bytes:
+        size = self.lengths[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.flat[at].tobytes()
+
+
 def _chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     def run(batches):
         import zstandard
@@ -121,8 +139,9 @@ def _chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     return bucketed(rows.mapInPandas(run, _CHUNKS), "bpe-chunks")
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text), ids as little-endian uint32."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row of ``docs`` (doc_id, text), ids as little-endian uint32;
+    with ``decoded`` also the bytes that the ids stand for, made by the same worker."""
     size = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
     chunks = _chunked(docs, pattern, parts)
@@ -145,6 +164,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("part", F.col("sizes").alias("n"), "ids"))).alias("dictionary"))
 
     def place(batches):
+        known = TokenBytes(vocabulary) if decoded else None
         for batch in batches:
             for r in batch.itertuples(index=False):
                 order = np.argsort(unpack(r.part_of, "<u4"), kind="stable")
@@ -166,32 +186,22 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     at = np.repeat(starts[own] - (after - size), size) + np.arange(int(size.sum()))
                     flat = ids[at]
                     bounds = np.append(0, after)[np.append(first, ends[lo:hi]) - first]
-                    yield pd.DataFrame({"key": list(r.keys[lo:hi]), "ids": [
-                        flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+                    own = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                    out = {"key": list(r.keys[lo:hi]), "ids": [x.tobytes() for x in own]}
+                    yield pd.DataFrame(out | ({"bytes": [known.join(x) for x in own]} if decoded else {}))
 
     joined = chunks.select("chunk", "keys", "sizes", "numbers", "part_of").join(dictionaries, "chunk", "left")
-    got = joined.select("keys", "sizes", "numbers", "part_of", "dictionary").mapInPandas(place, "key string, ids binary")
-    return got.select(F.col("key").cast("long").alias("doc_id"), "ids")
+    got = joined.select("keys", "sizes", "numbers", "part_of", "dictionary").mapInPandas(
+        place, "key string, ids binary" + (", bytes binary" if decoded else ""))
+    return got.select(F.col("key").cast("long").alias("doc_id"), *got.columns[1:])
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids, bytes) of every row of ``encoded`` (doc_id, ids)."""
     def run(batches):
-        table = ranks(vocabulary)
-        known = [b""] * (max(table.values()) + 1)
-        for token, i in table.items():
-            known[i] = token
-        lengths = np.array([len(t) for t in known], np.int64)
-        flat = np.frombuffer(b"".join(known), np.uint8)
-        starts = np.cumsum(lengths) - lengths
+        known = TokenBytes(vocabulary)
         for batch in batches:
-            out = []
-            for ids in batch["ids"]:
-                own = np.frombuffer(ids, "<u4")
-                size = lengths[own]
-                at = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                out.append(flat[at].tobytes())
-            yield batch.assign(bytes=out)
+            yield batch.assign(bytes=[known.join(np.frombuffer(ids, "<u4")) for ids in batch["ids"]])
 
     rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
     return rows.mapInPandas(run, "doc_id string, ids binary, bytes binary").select(
@@ -200,6 +210,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
-    return decode(encode(docs, vocabulary, pattern), vocabulary).select(
+    return encode(docs, vocabulary, pattern, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
