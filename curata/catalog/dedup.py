@@ -65,7 +65,43 @@ def insert_or_ignore_q(spark, sf_dir):
             .select("item_id", "url_fp", F.coalesce("_ins", F.lit(False)).alias("inserted")))
 
 
-@register("dedup_leader")
+def leader_ctes() -> str:
+    """``told`` (seq, slot, dup_at) from ``keyed`` (seq, source_weight, url_fp, title_key). The
+    rule stated row by row in order of ``seq``: a row meets the slot that its URL key,
+    else its title key, is registered for. Without one it opens a slot; a strictly heavier
+    row takes the slot over, and the one it displaces becomes a duplicate; any other row is a
+    duplicate. Only rows that hold a slot register their keys."""
+    kept = ("map_concat(acc.keys, CASE WHEN x.t IS NULL THEN MAP {x.u: acc.slot}"
+            " ELSE MAP {x.u: acc.slot, x.t: acc.slot} END)")
+    holder = "map_concat(acc.held, MAP {acc.slot: {'seq': x.seq, 'w': x.w}})"
+    blank = "NULL::BIGINT"
+    start = ("{'keys': MAP {}::MAP(VARCHAR, BIGINT), 'held': MAP {}::MAP(BIGINT, STRUCT(seq BIGINT, w DOUBLE)),"
+             " 'slot': 0::BIGINT, 'events': []::STRUCT(seq BIGINT, slot BIGINT, dup_at BIGINT)[]}")
+
+    def state(slot, keys="acc.keys", held="acc.held", events="acc.events"):
+        return f"{{'keys': {keys}, 'held': {held}, 'slot': {slot}, 'events': {events}}}"
+
+    found = "coalesce(acc.keys[x.u], acc.keys[x.t], x.seq)"
+    looked = f"list_transform([acc], lambda acc: {state(found)})[1]"
+    opened = state("acc.slot", kept, holder,
+                   f"list_append(acc.events, {{'seq': x.seq, 'slot': acc.slot, 'dup_at': {blank}}})")
+    taken = state("acc.slot", kept, holder,
+                  "list_concat(acc.events, [{'seq': acc.held[acc.slot].seq, 'slot': acc.slot, 'dup_at': x.seq},"
+                  f" {{'seq': x.seq, 'slot': acc.slot, 'dup_at': {blank}}}])")
+    lost = state("acc.slot", events="list_append(acc.events, {'seq': x.seq, 'slot': acc.slot, 'dup_at': x.seq})")
+    step = (f"list_transform([{looked}], lambda acc: CASE WHEN acc.slot = x.seq THEN {opened}"
+            f" WHEN x.w > acc.held[acc.slot].w THEN {taken} ELSE {lost} END)[1]")
+    return f"""
+listed AS (SELECT list({{'seq': seq, 'w': coalesce(source_weight, 0), 'u': 'u' || url_fp, 't': 't' || title_key}}
+                       ORDER BY seq) AS xs FROM keyed),
+folded AS (SELECT unnest(list_reduce(xs, lambda acc, x: {step}, {start}).events) AS e FROM listed),
+told AS (SELECT e.seq AS seq, max(e.slot) AS slot, max(e.dup_at) AS dup_at FROM folded GROUP BY 1)"""
+
+
+@register("dedup_leader", f"""
+WITH {O.doc_items_cte()}, {O.mixed_batch_cte()}, {_keys('mixed')}, {leader_ctes()}
+SELECT k.seq, k.item_id, dup_at IS NOT NULL AS batch_dup, slot, dup_at
+FROM keyed k JOIN told USING (seq)""")
 def dedup_leader(spark, sf_dir):
     batch = with_identity(mixed_batch(document_items(spark, sf_dir)))
     return dedupe_within_batch(batch).select("seq", "item_id", "batch_dup", "slot", "dup_at")

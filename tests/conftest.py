@@ -14,36 +14,3 @@ def spark():
     from curata.session import get_session
     s = get_session("local[4]", app="curata-tests", shuffle_partitions=8)
     yield s
-
-
-def leader_fold(rows):
-    """Plain-Python reference of the in-batch leader rule (test oracle).
-
-    rows: iterable of (seq, weight, url_key, title_key or None) in any order.
-    Returns {seq: is_duplicate}."""
-    kept = {}          # slot -> (seq, weight)
-    seen_url, seen_title = {}, {}
-    dup = {}
-    for seq, w, u, t in sorted(rows):
-        w = w or 0.0
-        clash = seen_url.get(u)
-        if clash is None and t is not None:
-            clash = seen_title.get(t)
-        if clash is None:
-            kept[seq] = (seq, w)
-            seen_url[u] = seq
-            if t is not None:
-                seen_title[t] = seq
-            dup[seq] = False
-            continue
-        inc_seq, inc_w = kept[clash]
-        if w > inc_w:
-            dup[inc_seq] = True
-            kept[clash] = (seq, w)
-            dup[seq] = False
-            seen_url[u] = clash
-            if t is not None:
-                seen_title[t] = clash
-        else:
-            dup[seq] = True
-    return dup

@@ -1,8 +1,12 @@
 import random
 
+import duckdb
+import pandas as pd
+
 from pyspark.sql import functions as F
 
-from conftest import SF01, SF001, leader_fold
+from conftest import SF001, SF01
+from curata.catalog.dedup import leader_ctes
 from curata.functions.urls import with_identity
 from curata.operators.dedup import (dedupe_within_batch, flag_cross_run, insert_or_ignore,
                                     winners_by_key)
@@ -13,6 +17,14 @@ def _frame(spark, rows):
     return spark.createDataFrame(rows, "seq long, source_weight double, url_fp string, title_key string")
 
 
+def leader_fold(rows):
+    """{seq: is it a duplicate?} by the SQL statement of the rule."""
+    keyed = pd.DataFrame(rows, columns=["seq", "source_weight", "url_fp", "title_key"]).astype(  # noqa: F841
+        {"url_fp": "str", "title_key": "object"})
+    told = duckdb.sql(f"WITH {leader_ctes()} SELECT seq, dup_at IS NOT NULL FROM told").fetchall()
+    return dict(told)
+
+
 def _check(spark, rows):
     got = {r.seq: r.batch_dup for r in dedupe_within_batch(_frame(spark, rows)).collect()}
     assert got == leader_fold(rows)
