@@ -1,7 +1,8 @@
 """Queries for article generation.
 
-Generation runs over the whole relevant set (no queue limit), with model answers
-derived from ``labels`` and related priors for every item; the work queue query keeps its
+Generation runs once over the whole relevant set (no queue limit), with model answers
+derived from ``labels`` and related priors for every item, into the article store that
+these queries read (``shared.py``); the work queue query keeps its
 limit (the queue size is the feature) over the items that have no article yet.
 """
 
@@ -10,21 +11,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.similarity import THRESHOLD, TOP_K, relevant_items
+from curata.catalog.shared import MAX_WORDS, MIN_WORDS, article_store, relevant_items
 from curata.catalog.summary import RELATED_CTE
 from curata.oracle import sql as O
 from curata.operators.quality import PLACEHOLDER_MARKERS
-from curata.operators.relevance import apply_relevance
+from curata.operators.relevance import apply_relevance, scope_tags
 from curata.operators.summarize import DEFAULT_FOCUS  # noqa: F401
-from curata.plans.generation import generate, work_queue
+from curata.plans.generation import work_queue
 from curata.scope import TEST_SCOPE
 from curata.session import materialize
-from curata.sources.answers import answers_from_labels
-from curata.sources.archive import assign_ids
 from curata.sources.items import document_items
-from curata.sources.tables import read_table
 
-MIN_WORDS, MAX_WORDS, MODEL = 40, 320, "batch-model"
 WHY = (f"A concrete addition to {TEST_SCOPE.name}: it changes what's available to "
        f"builders today rather than being general commentary.")
 
@@ -100,13 +97,6 @@ articles AS (
 GEN_SQL = _generation_sql()
 
 
-def generated(spark, sf_dir):
-    rel = relevant_items(spark, sf_dir)
-    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    answers = answers_from_labels(labels, document_items(spark, sf_dir))
-    return generate(rel, rel, TEST_SCOPE, answers, TOP_K, THRESHOLD, MIN_WORDS, MAX_WORDS, MODEL)
-
-
 @register("work_queue", f"""
 WITH {O.doc_items_cte()}, {O.scored_cte(TEST_SCOPE)},
 mx AS (SELECT max(run_id) AS m FROM items),
@@ -125,16 +115,17 @@ def work_queue_q(spark, sf_dir):
                                              "yyyy-MM-dd HH:mm:ss").alias("queue_key"))
 
 
-@register("scope_tags", f"""WITH {GEN_SQL}
-SELECT item_id, array_to_string(scope_tags, '|') AS tags FROM articles""")
+@register("scope_tags", f"""WITH {O.doc_items_cte()}, {O.scored_cte(TEST_SCOPE)}
+SELECT item_id, array_to_string(list_concat([{O.q(TEST_SCOPE.name)}]::VARCHAR[], list_slice(strong_hits, 1, 5)), '|') AS tags
+FROM scored WHERE relevant""")
 def scope_tags_q(spark, sf_dir):
-    return generated(spark, sf_dir).select("item_id", F.array_join("scope_tags", "|").alias("tags"))
+    return relevant_items(spark, sf_dir).select("item_id", F.array_join(scope_tags(TEST_SCOPE), "|").alias("tags"))
 
 
 @register("answer_merge", f"""WITH {GEN_SQL}
 SELECT item_id, engine, what_changed, why_it_matters, comparison FROM articles""")
 def answer_merge_q(spark, sf_dir):
-    return generated(spark, sf_dir).select("item_id", "engine", "what_changed", "why_it_matters",
+    return article_store(spark, sf_dir).articles().select("item_id", "engine", "what_changed", "why_it_matters",
                                            "comparison")
 
 
@@ -142,7 +133,7 @@ def answer_merge_q(spark, sf_dir):
 SELECT item_id, quality_status, array_to_string(quality_issues, ' | ') AS issues, word_count
 FROM articles""")
 def quality_gate_q(spark, sf_dir):
-    return generated(spark, sf_dir).select(
+    return article_store(spark, sf_dir).articles().select(
         "item_id", "quality_status", F.array_join("quality_issues", " | ").alias("issues"),
         F.col("word_count").cast("int").alias("word_count"))
 
@@ -153,8 +144,6 @@ SELECT CAST(row_number() OVER (ORDER BY item_id) AS BIGINT) AS article_id, item_
        CAST(len(related) AS INTEGER) AS n_comparisons, body
 FROM articles""")
 def articles_q(spark, sf_dir):
-    arts = generated(spark, sf_dir).select(
-        "item_id", "title", "engine", "quality_status", F.array_join("scope_tags", "|").alias("tags"),
+    return article_store(spark, sf_dir).with_children().select(
+        "article_id", "item_id", "title", "engine", "quality_status", F.array_join("scope_tags", "|").alias("tags"),
         F.size("comparisons").alias("n_comparisons"), "body")
-    return assign_ids(arts, ["item_id"], id_col="article_id").select(
-        "article_id", "item_id", "title", "engine", "quality_status", "tags", "n_comparisons", "body")

@@ -5,27 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.articles import GEN_SQL, generated
+from curata.catalog.articles import GEN_SQL
+from curata.catalog.shared import CREATED_AT, article_store
 from curata.oracle import sql as O
 from curata.operators.publish import (archive_search, facets, json_feed_items, published_articles,
-                                      rss_items, search_index, similarity_display, sorted_children,
-                                      teasers, text_blocks, view)
-from curata.sources.archive import assign_ids
+                                      rss_items, search_index, similarity_display, teasers, text_blocks,
+                                      view)
 from curata.sources.items import document_items
 
-CREATED_AT = "2024-06-01 00:00:00"
 BASE_URL = "https://news.example.org"
 SEARCH = dict(q="The", tag="tion")
 
 
-def article_table(spark, sf_dir):
-    arts = assign_ids(generated(spark, sf_dir), ["item_id"], id_col="article_id")
-    return arts.withColumn("created_at", F.to_timestamp(F.lit(CREATED_AT)))
-
-
 def published_view(spark, sf_dir):
-    pub = published_articles(article_table(spark, sf_dir), document_items(spark, sf_dir))
-    return view(sorted_children(pub))
+    store = article_store(spark, sf_dir)
+    passed = store.articles().where(F.col("quality_status") == "pass")
+    return view(published_articles(store.with_children(passed), document_items(spark, sf_dir)))
 
 
 PUB_SQL = f"""{GEN_SQL},
@@ -55,10 +50,10 @@ arts AS (SELECT row_number() OVER (ORDER BY item_id) AS article_id, * FROM artic
 SELECT CAST(article_id AS BIGINT) AS article_id,
        source_id || '|' || url || '|true' AS sources,
        array_to_string(list_transform(related, lambda c: CAST(c.related_item_id AS VARCHAR) || '@'
-         || printf('%.2f', round(c.similarity, 2))), ';') AS comparisons
+         || printf('%.2f', floor((round(c.similarity * 10000) + 50) / 100) / 100)), ';') AS comparisons
 FROM arts""")
 def article_children_q(spark, sf_dir):
-    arts = sorted_children(article_table(spark, sf_dir))
+    arts = article_store(spark, sf_dir).with_children()
     return arts.select(
         "article_id",
         F.array_join(F.transform("sources", lambda s: F.concat_ws(
@@ -86,7 +81,7 @@ arts AS (SELECT row_number() OVER (ORDER BY item_id) AS article_id, * FROM artic
 SELECT CAST(article_id AS BIGINT) AS article_id, {_blocks_sql('what_changed')} AS what_blocks,
        {_blocks_sql('comparison')} AS comparison_blocks FROM arts""")
 def text_blocks_q(spark, sf_dir):
-    arts = article_table(spark, sf_dir)
+    arts = article_store(spark, sf_dir).articles()
     return arts.select("article_id",
                        F.array_join(text_blocks(F.col("what_changed")), "\n").alias("what_blocks"),
                        F.array_join(text_blocks(F.col("comparison")), "\n").alias("comparison_blocks"))

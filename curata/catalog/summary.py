@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.similarity import THRESHOLD, TOP_K, relevant_items
+from curata.catalog.shared import THRESHOLD, TOP_K, related_items, relevant_items
 from curata.functions.text import scored_sentences, sentences
 from curata.functions.urls import with_identity
 from curata.oracle import sql as O
-from curata.operators.similarity import find_related
 from curata.operators.summarize import extractive, prompts
 from curata.plans.generation import related_arrays
 from curata.scope import TEST_SCOPE
@@ -44,7 +43,7 @@ inp AS (SELECT rel.*, coalesce(relp.related, []) AS related FROM rel LEFT JOIN r
 
 def summary_inputs(spark, sf_dir):
     rel = relevant_items(spark, sf_dir)
-    related = related_arrays(find_related(rel, rel, TOP_K, THRESHOLD))
+    related = related_arrays(related_items(spark, sf_dir))
     return rel.join(related, "item_id", "left").withColumn(
         "related", F.coalesce("related", F.array().cast(
             "array<struct<related_item_id:bigint,related_title:string,related_url:string,"

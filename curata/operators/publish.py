@@ -171,8 +171,8 @@ def rss_items(v: DataFrame, base_url: str = "", limit: int = FEED_LIMIT,
 
 
 def similarity_display(c) -> Column:
-    """Two decimals."""
-    return F.format_string("%.2f", F.round(c, 2))
+    """Two decimals, half up on the four that are reported."""
+    return F.format_string("%.2f", F.floor((F.round(c * 10000) + 50) / 100) / 100)
 
 
 def teasers(v: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def apply_relevance(items: DataFrame, scope: Scope, weight_col: str = "source_we
                         .otherwise(F.lit("irrelevant"))))
 
 
-def scope_tags(scope: Scope, k: int = 5) -> Column:
-    """Scope name (if any) then the first k strong hits; needs ``strong_hits``."""
+def scope_tags(scope: Scope, k: int = 5, hits: Column | None = None) -> Column:
+    """Scope name (if any) then the first k strong hits (those of ``score`` unless given)."""
     head = F.array(F.lit(scope.name)) if scope.name else F.array().cast("array<string>")
-    return F.concat(head, F.slice(F.col("strong_hits"), 1, k))
+    return F.concat(head, F.slice(F.col("strong_hits") if hits is None else hits, 1, k))

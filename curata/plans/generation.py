@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curata.functions.keywords import keyword_hits
 from curata.functions.text import scoring_text
 from curata.operators.quality import check
+from curata.operators.relevance import scope_tags
 from curata.operators.similarity import find_related
 from curata.operators.summarize import assemble_body, extractive, merge_answers
 from curata.scope import Scope
@@ -38,19 +39,21 @@ def related_arrays(related: DataFrame) -> DataFrame:
 
 def generate(queue: DataFrame, relevant: DataFrame, scope: Scope, answers: DataFrame | None = None,
              top_k: int = 3, min_similarity: float = 0.08, min_words: int = 40,
-             max_words: int = 320, model: str = "") -> DataFrame:
-    """Drafts with quality verdicts for every queued item."""
-    related = related_arrays(find_related(queue, relevant, top_k, min_similarity))
+             max_words: int = 320, model: str = "", related: DataFrame | None = None) -> DataFrame:
+    """Drafts with quality verdicts for every queued item. ``related``: the related priors,
+    where they have been found and written before."""
+    if related is None:
+        related = find_related(queue, relevant, top_k, min_similarity)
+    related = related_arrays(related)
     inputs = (queue.join(related, "item_id", "left")
               .withColumn("related", F.coalesce("related", F.array().cast(
                   "array<struct<related_item_id:bigint,related_title:string,related_url:string,"
                   "related_summary:string,similarity:double>>"))))
     drafts = (merge_answers(inputs, answers, scope.name, model) if answers is not None
               else extractive(inputs, scope.name).withColumn("fallback", F.lit(False)))
-    tags = F.concat(F.array(F.lit(scope.name)) if scope.name else F.array().cast("array<string>"),
-                    F.slice(keyword_hits(scoring_text("title", "summary"), scope.strong), 1, 5))
     drafts = drafts.withColumns({
-        "scope_tags": tags,
+        "scope_tags": scope_tags(scope, hits=None if "strong_hits" in drafts.columns else keyword_hits(
+            scoring_text("title", "summary"), scope.strong)),
         "sources": F.array(F.struct(F.col("url").alias("url"), F.col("title").alias("title"),
                                     F.col("source_id").alias("source_id"),
                                     F.lit(True).alias("is_primary"))),
@@ -61,14 +64,3 @@ def generate(queue: DataFrame, relevant: DataFrame, scope: Scope, answers: DataF
         "body": assemble_body(),
     })
     return check(drafts, min_words, max_words, require_comparison=F.size("related") > 0)
-
-
-def report(drafts: DataFrame, considered: DataFrame) -> DataFrame:
-    """Generation counters in one aggregation."""
-    g = drafts.agg(
-        F.count(F.lit(1)).alias("generated"),
-        F.count_if(F.col("quality_status") == "pass").alias("passed"),
-        F.count_if(F.col("quality_status") == "flagged").alias("flagged"),
-        F.count_if(F.col("quality_status") == "fail").alias("failed_quality"),
-        F.count_if(F.col("fallback")).alias("llm_fallbacks"))
-    return considered.agg(F.count(F.lit(1)).alias("considered")).crossJoin(g)

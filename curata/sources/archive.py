@@ -78,14 +78,15 @@ def with_cached_content(items: DataFrame, cache: DataFrame) -> DataFrame:
     return items.join(cache.select("url_fp", "content", "content_fetched_at"), "url_fp", "left")
 
 
-def assign_ids(rows: DataFrame, order: list[str], start: int = 1, id_col: str = "id") -> DataFrame:
+def assign_ids(rows: DataFrame, order: list[str], start: int = 1, id_col: str = "id",
+               written: bool = False) -> DataFrame:
     """Dense ids in ``order`` (columns that are unique together) without a
     single-partition window (W3). The rows and, range-sorted, their keys with the number
     of the sorted partition are each written once to the checkpoint folder; counts,
     offsets (one small row per partition) and positions come from that one table of keys,
     and the id joins back on the unique key, so no row can meet a partition other than
     the one it was counted in."""
-    rows = materialize(rows)
+    rows = rows if written else materialize(rows)   # ``written``: already read from files
     keys = materialize(rows.select(*order).orderBy(*order).withColumn("_pid", F.spark_partition_id()))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

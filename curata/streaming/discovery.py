@@ -24,6 +24,7 @@ from curata.plans.discovery import discover
 from curata.scope import Scope
 from curata.session import materialize
 from curata.sources.archive import ITEM_SCHEMA, assign_ids, read_items, write_items
+from curata.sources.tables import path_exists
 from curata.sources.feeds import RSS_ITEM_SCHEMA, entries_to_items
 
 
@@ -34,11 +35,6 @@ def feed_stream(spark: SparkSession, root: str, source_id: str, weight: float =
     return entries_to_items(raw, F.lit(source_id), F.lit(weight), F.lit(""))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _empty_archive(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ITEM_SCHEMA)
 
@@ -48,7 +44,7 @@ def run_batch(batch: DataFrame, batch_id: int, archive_path: str, scope: Scope)
     spark = batch.sparkSession
     # arrival order in the batch, fixed once for every branch of the plan
     batch = materialize(batch.withColumn("seq", F.monotonically_increasing_id()))
-    exists = _exists(spark, archive_path)
+    exists = path_exists(spark, archive_path)
     archive = read_items(spark, archive_path, before_run=batch_id) if exists else _empty_archive(spark)
     result = discover(batch, with_identity(archive) if "url_fp" not in archive.columns else archive,
                       scope, batch_id)
