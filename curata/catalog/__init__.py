@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 def _load() -> None:
     # importing the modules fills REGISTRY
     from curata.catalog import (identity, scoring, dedup, similarity, summary,  # noqa: F401
-                                articles, publication, stored, runs)
+                                articles, publication, stored, feeds, daily, runs)
 
 
 def queries() -> dict[str, QueryFn]:

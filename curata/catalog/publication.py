@@ -8,9 +8,9 @@ from curata.catalog import register
 from curata.catalog.articles import GEN_SQL
 from curata.catalog.shared import CREATED_AT, article_store
 from curata.oracle import sql as O
-from curata.operators.publish import (archive_search, facets, json_feed_items, published_articles,
-                                      rss_items, search_index, similarity_display, teasers, text_blocks,
-                                      view)
+from curata.operators.publish import (archive_search, facets, json_feed_items, rss_items,
+                                      search_index, similarity_display, teasers, text_blocks)
+from curata.plans import publication
 from curata.sources.items import document_items
 
 BASE_URL = "https://news.example.org"
@@ -18,9 +18,7 @@ SEARCH = dict(q="The", tag="tion")
 
 
 def published_view(spark, sf_dir):
-    store = article_store(spark, sf_dir)
-    passed = store.articles().where(F.col("quality_status") == "pass")
-    return view(published_articles(store.with_children(passed), document_items(spark, sf_dir)))
+    return publication.published_view(article_store(spark, sf_dir), document_items(spark, sf_dir))
 
 
 PUB_SQL = f"""{GEN_SQL},

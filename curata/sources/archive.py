@@ -51,9 +51,11 @@ def read_items(spark: SparkSession, path: str, before_run: int | None = None) ->
     return df
 
 
-def write_items(rows: DataFrame, path: str) -> None:
-    """Append one run's rows, replacing only that run's partition."""
-    types = {f.name: f.dataType for f in ITEM_SCHEMA.fields} | {k: t for k, (t, _) in ITEM_ADDED_COLUMNS.items()}
+def write_items(rows: DataFrame, path: str, version: int = 2) -> None:
+    """Append one run's rows, replacing only that run's partition. Version 1 of the schema has
+    no added columns."""
+    added = {k: t for k, (t, _) in ITEM_ADDED_COLUMNS.items()} if version > 1 else {}
+    types = {f.name: f.dataType for f in ITEM_SCHEMA.fields} | added
     out = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c)
                         for c, t in types.items()])
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

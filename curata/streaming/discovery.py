@@ -1,6 +1,6 @@
 """Discovery as a Structured Streaming query.
 
-Landed feed files are read with ``readStream`` (XML source, explicit schema); each
+Landed feed files of all enabled sources are read as a stream of whole files; each
 micro-batch is one discovery run (``foreachBatch``): in-batch leader dedup,
 archive probes, scoring, and an insert-or-ignore append to the Parquet archive
 partitioned by run. The only state is the archive itself, so a late item is
@@ -22,17 +22,15 @@ from curata.functions.urls import with_identity
 from curata.operators.dedup import insert_or_ignore
 from curata.plans.discovery import discover
 from curata.scope import Scope
-from curata.session import materialize
 from curata.sources.archive import ITEM_SCHEMA, assign_ids, read_items, write_items
 from curata.sources.tables import path_exists
-from curata.sources.feeds import RSS_ITEM_SCHEMA, entries_to_items
+from curata.sources.feeds import FEED_ORDER, feed_entries, parse_feeds
+from curata.sources.registry import landed
 
 
-def feed_stream(spark: SparkSession, root: str, source_id: str, weight: float = 1.0) -> DataFrame:
-    """Items of one source's landed RSS files as a stream."""
-    raw = (spark.readStream.format("xml").option("rowTag", "item").schema(RSS_ITEM_SCHEMA)
-           .load(f"{root}/{source_id}"))
-    return entries_to_items(raw, F.lit(source_id), F.lit(weight), F.lit(""))
+def feed_stream(spark: SparkSession, root: str, sources: DataFrame, type_: str = "files") -> DataFrame:
+    """Items of the enabled sources' landed files as a stream, by a registered source type."""
+    return feed_entries(parse_feeds(landed(spark, type_, root, stream=True)), sources)
 
 
 def _empty_archive(spark: SparkSession) -> DataFrame:
@@ -42,8 +40,8 @@ def _empty_archive(spark: SparkSession) -> DataFrame:
 def run_batch(batch: DataFrame, batch_id: int, archive_path: str, scope: Scope) -> None:
     """One micro-batch = one discovery run appended to the archive."""
     spark = batch.sparkSession
-    # arrival order in the batch, fixed once for every branch of the plan
-    batch = materialize(batch.withColumn("seq", F.monotonically_increasing_id()))
+    # source order, fixed once for every branch of the plan
+    batch = assign_ids(batch, FEED_ORDER, start=0, id_col="seq")
     exists = path_exists(spark, archive_path)
     archive = read_items(spark, archive_path, before_run=batch_id) if exists else _empty_archive(spark)
     result = discover(batch, with_identity(archive) if "url_fp" not in archive.columns else archive,
@@ -56,10 +54,10 @@ def run_batch(batch: DataFrame, batch_id: int, archive_path: str, scope: Scope)
     write_items(numbered.withColumn("fetched_at", F.current_timestamp()), archive_path)
 
 
-def discover_stream(spark: SparkSession, root: str, source_id: str, archive_path: str,
-                    checkpoint: str, scope: Scope, weight: float = 1.0,
-                    available_now: bool = True) -> StreamingQuery:
-    items = feed_stream(spark, root, source_id, weight)
+def discover_stream(spark: SparkSession, root: str, sources: DataFrame, archive_path: str,
+                    checkpoint: str, scope: Scope, available_now: bool = True,
+                    type_: str = "files") -> StreamingQuery:
+    items = feed_stream(spark, root, sources, type_)
     w = items.writeStream.foreachBatch(lambda df, bid: run_batch(df, bid, archive_path, scope))
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

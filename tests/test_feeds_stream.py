@@ -1,14 +1,17 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from curata.functions.urls import with_identity
 from curata.operators.dedup import dedupe, insert_or_ignore
 from curata.plans.discovery import discover
 from curata.scope import Scope, Weights
-from curata.sources.archive import read_items
-from curata.sources.feeds import SOURCE_SCHEMA, scan_feeds
+from curata.sources.archive import assign_ids, read_items
+from curata.sources.feeds import FEED_ORDER, SOURCE_SCHEMA, scan_feeds
+from curata.sources.registry import landed, register
 from curata.streaming.discovery import discover_stream
 
 SCOPE = Scope(name="Test AI", strong=("model", "api"), signals=("launches",),
@@ -45,23 +48,64 @@ def test_scan_map_and_discover(spark):
     assert r.summary == "&lt;p&gt;big news&lt;/p&gt;".replace("&lt;", "<").replace("&gt;", ">").replace("<p>", "").replace("</p>", "") or r.summary
     assert r.metadata.feed_title == "S1" and r.metadata.tags == ["ai"] and r.published_at is not None
     empty = spark.createDataFrame([], "url_fp string, title_fp string, normalized_title string")
-    res = discover(items, empty, SCOPE, run_id=1)
+    res = discover(assign_ids(items, FEED_ORDER, id_col="seq"), empty, SCOPE, run_id=1)
     counts = {x.status: x["count"] for x in res.groupBy("status").count().collect()}
     assert counts == {"duplicate": 1, "relevant": 1, "irrelevant": 1}
 
 
-def test_stream_runs_and_second_run_is_duplicate(spark):
+@pytest.mark.parametrize("type_", ["files", "landed_feed"])
+def test_stream_runs_and_second_run_is_duplicate(spark, type_):
+    sources = spark.createDataFrame([("s1", "rss", True, 1.0)], SOURCE_SCHEMA)
     root = tempfile.mkdtemp(prefix="feeds-", dir="/tmp")
     _land(root, "s1", [("Acme launches model API", "https://acme.com/a", "x"),
                        ("Other launches api", "https://acme.com/b", "y")])
     archive = os.path.join(tempfile.mkdtemp(prefix="arch-", dir="/tmp"), "items")
     ck = tempfile.mkdtemp(prefix="ck-", dir="/tmp")
-    q = discover_stream(spark, root, "s1", archive, ck, SCOPE)
+    q = discover_stream(spark, root, sources, archive, ck, SCOPE, type_=type_)
     q.awaitTermination(120)
     first = read_items(spark, archive)
     assert first.count() == 2
     _land(root, "s1", [("Acme launches model API", "https://acme.com/a?utm_medium=rss", "x")], "feed2.xml")
-    q = discover_stream(spark, root, "s1", archive, ck, SCOPE)
+    q = discover_stream(spark, root, sources, archive, ck, SCOPE, type_=type_)
     q.awaitTermination(120)
     after = read_items(spark, archive)
     assert after.count() == 2  # URL key already archived: insert-or-ignore keeps one row
+
+
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>A &amp; B</title><link rel="self" href="https://self"/>
+<entry><title type="html">One</title><link rel="edit" href="https://e/1"/><link href="https://a/1"/><id>i1</id>
+<updated>2024-01-02T03:04:05Z</updated><author><name>N</name></author><category term="k"/><category term=""/></entry>
+<entry><title>No link</title><id>i2</id></entry><entry><title>Two</title><link href="https://a/2"/></entry></feed>"""
+
+
+def test_atom_entries_order_and_file_errors(spark):
+    root = tempfile.mkdtemp(prefix="feeds-", dir="/tmp")
+    _land(root, "a", [(f"t{i}", f"https://x/{i}", "d") for i in range(12)], "2.xml")
+    _land(root, "a", [("first", "https://x/first", "d" * 5000)], "1.xml")
+    for source, name, text in (("b", "f.xml", ATOM), ("c", "f.xml", ATOM[:120]), ("d", "f.xml", RSS.format(feed="n", items="")),
+                               ("d", "g.xml", "")):
+        os.makedirs(os.path.join(root, source), exist_ok=True)
+        with open(os.path.join(root, source, name), "w") as f:
+            f.write(text)
+    sources = spark.createDataFrame([(x, "rss", True, 1.0, 9 - i) for i, x in enumerate("abcd")],
+                                    SOURCE_SCHEMA + ", position int")
+    for type_ in ("files", "landed_feed"):
+        items, errors = scan_feeds(spark, root, sources, type_)
+        rows = items.orderBy(*FEED_ORDER).collect()
+        assert [r.title for r in rows] == ["One", "Two", "first", *(f"t{i}" for i in range(12))]
+        one = rows[0]
+        assert (one.url, one.author, one.metadata.tags, one.metadata.guid, one.metadata.feed_title) == (
+            "https://a/1", "N", ["k"], "i1", "A & B") and one.published_at is not None
+        assert {r.source_id: r.error for r in errors.collect()} == {
+            "c": "ParseError: not well-formed XML (1 files)", "d": "EmptyFeed: no entries (2 files)"}
+
+
+def test_source_types(spark):
+    with pytest.raises(ValueError, match="unknown source type 'nope'; known types: files, landed_feed"):
+        landed(spark, "nope", "/tmp")
+
+    @register("memory")
+    def memory(spark, root, stream):
+        return spark.createDataFrame([(f"{root}/m/f.xml", ATOM)], "path string, value string")
+    sources = spark.createDataFrame([("m", "memory", True, 1.0)], SOURCE_SCHEMA)
+    assert scan_feeds(spark, "any", sources, "memory")[0].count() == 2
