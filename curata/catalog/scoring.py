@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from curata.catalog import register
 from curata.oracle import sql as O
-from curata.operators.relevance import apply_relevance
+from curata.operators.relevance import apply_relevance, dictionary_hits, vocabulary
 from curata.operators.reports import status_counts
 from curata.operators.dedup import winners_by_key
 from curata.functions.urls import with_identity
-from curata.scope import RETARGET_SCOPE, TEST_SCOPE
+from curata.scope import RETARGET_SCOPE, SHIPPED_SCOPE, TEST_SCOPE
 from curata.sources.items import document_items
 
 
@@ -78,3 +78,15 @@ def status_counts_q(spark, sf_dir):
     items = items.withColumn("status", F.when(F.col("is_winner"), F.col("status"))
                              .otherwise(F.lit("duplicate")))
     return status_counts(items)
+
+
+VOCABULARY = sorted({k for scope in (TEST_SCOPE, RETARGET_SCOPE, SHIPPED_SCOPE)
+                     for k in (*scope.strong, *scope.normal, *scope.signals, *scope.exclude)})
+
+
+@register("dictionary_hits", f"""WITH {O.doc_items_cte()},
+found AS (SELECT item_id, unnest({O.keyword_hits(O.scoring_text('title', 'summary'), VOCABULARY)}) AS term FROM items)
+SELECT item_id, term FROM found""")
+def dictionary_hits_q(spark, sf_dir):
+    """All terms of the three scopes as one vocabulary, matched by n-grams."""
+    return dictionary_hits(document_items(spark, sf_dir), vocabulary(spark, VOCABULARY))

@@ -38,6 +38,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], obje
     return _WRITTEN[key]
 
 
+def forget() -> None:
+    """Write every table anew when it is needed next."""
+    _WRITTEN.clear()
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     def make(path):
         rows = build()

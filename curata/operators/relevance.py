@@ -9,10 +9,10 @@ All hit lists are native ``rlike`` tests; no shuffle, the operator is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.functions.keywords import keyword_hits
+from curata.functions.keywords import keyword_hits, term_key, term_tokens, words
 from curata.functions.text import scoring_text
 from curata.scope import Scope
 
@@ -29,12 +29,13 @@ def _hits_phrase(label: str, hits: Column) -> Column:
 
 def add_keyword_hits(items: DataFrame, scope: Scope, text: Column | None = None) -> DataFrame:
     t = text if text is not None else scoring_text("title", "summary")
-    return items.withColumns({
-        "strong_hits": keyword_hits(t, scope.strong),
-        "normal_hits": keyword_hits(t, scope.normal),
-        "signal_hits": keyword_hits(t, scope.signals),
-        "exclude_hits": keyword_hits(t, scope.exclude),
-    })
+    known = F.col("_words")
+    return items.withColumn("_words", words(t)).withColumns({
+        "strong_hits": keyword_hits(t, scope.strong, known),
+        "normal_hits": keyword_hits(t, scope.normal, known),
+        "signal_hits": keyword_hits(t, scope.signals, known),
+        "exclude_hits": keyword_hits(t, scope.exclude, known),
+    }).drop("_words")
 
 
 def score(items: DataFrame, scope: Scope, weight_col: str = "source_weight") -> DataFrame:
@@ -79,3 +80,31 @@ def scope_tags(scope: Scope, k: int = 5, hits: Column | None = None) -> Column:
     """Scope name (if any) then the first k strong hits (those of ``score`` unless given)."""
     head = F.array(F.lit(scope.name)) if scope.name else F.array().cast("array<string>")
     return F.concat(head, F.slice(F.col("strong_hits") if hits is None else hits, 1, k))
+
+
+def vocabulary(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """(term, key, size) of a vocabulary for ``dictionary_hits``."""
+    keys = [(t, term_key(t)) for t in dict.fromkeys(terms)]
+    odd = [t for t, k in keys if k is None]
+    if odd:
+        raise ValueError(f"terms that need a pattern: {odd}")
+    return spark.createDataFrame(keys, "term string, key string").withColumn("size", F.size(term_tokens("key")))
+
+
+def _gram(n: int):
+    return lambda i: F.array_join(F.slice(F.col("tokens"), i, n), "")
+
+
+def dictionary_hits(items: DataFrame, terms: DataFrame, id_col: str = "item_id", text: Column | None = None) -> DataFrame:
+    """(id, term) for every term of a large vocabulary (``terms``: term, key = its tokens joined,
+    size = their number) found in an item's text: the text's n-grams, for the sizes that the
+    vocabulary has, are made in one pass, each kept once per item, and joined to the terms. A
+    phrase matches over white space only, as its pattern would."""
+    t = text if text is not None else scoring_text("title", "summary")
+    sizes = sorted(r["size"] for r in terms.select("size").distinct().collect())   # a few numbers
+    tokens = items.select(F.col(id_col).alias("id"), term_tokens(t).alias("tokens"))
+    grams = F.flatten(F.array(*(
+        F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), _gram(n)))
+        .otherwise(F.array().cast("array<string>")) for n in sizes)))
+    keys = tokens.select("id", F.explode(F.array_distinct(grams)).alias("key"))
+    return keys.join(terms.select("term", "key"), "key").select(F.col("id").alias(id_col), "term")

@@ -91,6 +91,8 @@ def discovery_run(batch: DataFrame, root: str, scope: Scope, run_id: int) -> dic
     numbered = assign_ids(inserted.drop("item_id"), ["insert_group", "insert_at", "seq"], start=last + 1, id_col="item_id")
     if "fetched_at" not in numbered.columns:
         numbered = numbered.withColumn("fetched_at", F.current_timestamp())
+    if "first_seen_at" not in numbered.columns:
+        numbered = numbered.withColumn("first_seen_at", F.col("fetched_at"))
     stored = Observation()
     write_items(numbered.observe(stored, F.count(F.lit(1)).alias("inserted")), f"{root}/items")
     stats = {k: int(v) for k, v in (result.get | stored.get).items()}

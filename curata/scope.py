@@ -66,9 +66,6 @@ class Scope:
 # --- fixed values: the shipped editorial scope (terms and weights as published) ---
 SHIPPED_SCOPE = Scope(
     name="Practical AI: Tools, Models & Frameworks",
-    description=("Concrete AI product developments: new software products, new features, "
-                 "new models, new frameworks, and newly introduced paradigms. Signal over "
-                 "noise — not a general AI news site."),
     strong=("large language model", "llm", "foundation model", "open source model",
             "open-weight", "open weights", "multimodal", "fine-tune", "fine-tuning",
             "inference", "model release", "new model", "framework", "sdk", "api",

@@ -34,7 +34,11 @@ ITEM_SCHEMA = T.StructType([
 ])
 
 # columns added after the first schema version, with their defaults
-ITEM_ADDED_COLUMNS = {"content": (T.StringType(), ""), "content_fetched_at": (T.TimestampType(), None)}
+ITEM_METADATA = T.StructType([
+    T.StructField("feed_title", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())),
+    T.StructField("source_weight", T.DoubleType()), T.StructField("guid", T.StringType())])
+ITEM_ADDED_COLUMNS = {"content": (T.StringType(), ""), "content_fetched_at": (T.TimestampType(), None),
+                      "metadata": (ITEM_METADATA, None), "first_seen_at": (T.TimestampType(), None)}
 
 
 def read_items(spark: SparkSession, path: str, before_run: int | None = None) -> DataFrame:
