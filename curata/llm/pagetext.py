@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: a quote opens a value only after an equals sign; the group gives nothing back
+_ATTRS = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    + _ATTRS + r"(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -47,6 +49,9 @@ _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcru
           "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination",
           "popup", "promo", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar",
           "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget"}
+#: fixed values: those of them that as often name a page's layout: they say nothing against an
+#: article or main element, neither on it nor around it
+_LAYOUT = {"menu", "nav", "search", "share", "sidebar", "skip", "social", "tags", "toolbar", "widget"}
 _WELCOME = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 #: fixed values: weights of the classifier
 _ELEMENT = {"article": 6.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0,
@@ -64,35 +69,53 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("name", "score", "inside", "depth", "link")
+    __slots__ = ("name", "score", "layout", "inside", "depth", "link")
 
-    def __init__(self, name, score, inside, depth, link):
-        self.name, self.score, self.inside, self.depth, self.link = name, score, inside, depth, link
+    def __init__(self, name, score, layout, inside, depth, link):
+        self.name, self.score, self.layout, self.inside = name, score, layout, inside
+        self.depth, self.link = depth, link
 
 
 def _open(name: str, attrs: str, parent: _Element) -> _Element:
     """The element's own evidence is added to its parent's; within an article the
     article's weight still holds."""
     score = _ELEMENT.get(name, 0.0)
+    layout = 0.0 if name in ("article", "main") else parent.layout
     if name in ("article", "main") and parent.inside:
         score = 0.0
     if name == "header" and not parent.inside:
         score = _HEADER_WEIGHT
     if attrs and name not in ("html", "body"):
-        words = set()
-        for match in _NAMES.finditer(attrs):
-            words.update(_WORDS.findall((match[1] or match[2] or match[3] or "").lower()))
-        if words & _NOISE:
+        bad, good = _name_words(attrs)
+        if name in ("article", "main"):
+            bad -= _LAYOUT
+        if bad - _LAYOUT:
             score += _NOISE_WEIGHT
-        elif words & _WELCOME and not parent.inside:
+        elif bad:
+            layout += _NOISE_WEIGHT
+        elif good and not parent.inside:
             score += _WELCOME_WEIGHT
-    return _Element(name, parent.score + score, parent.inside or name in ("article", "main"),
+    return _Element(name, parent.score + score, layout, parent.inside or name in ("article", "main"),
                     parent.depth + 1, parent.link or name == "a")
 
 
+def _name_words(attrs: str) -> tuple[set[str], set[str]]:
+    """Boilerplate and welcome words of an element's class names, id and role. A name that
+    holds both, as ``article-with-sidebar``, tells nothing."""
+    bad: set[str] = set()
+    good: set[str] = set()
+    for match in _NAMES.finditer(attrs):
+        for name in (match[1] or match[2] or match[3] or "").lower().split():
+            words = set(_WORDS.findall(name))
+            if not (words & _NOISE and words & _WELCOME):
+                bad |= words & _NOISE
+                good |= words & _WELCOME
+    return bad, good
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks with text of a page, in page order."""
-    root = _Element("", 0.0, False, 0, False)
+    root = _Element("", 0.0, 0.0, False, 0, False)
     stack, out = [root], []
     pieces: list[str] = []
     linked = 0
@@ -104,7 +127,7 @@ def blocks_of(html: str) -> list[Block]:
             if text:
                 holder = next(e for e in reversed(stack) if e.name in _BLOCK or not e.name)
                 share = min(1.0, linked / max(1, len(text)))
-                logit = (_BASE + stack[-1].score + _LINKS * share
+                logit = (_BASE + stack[-1].score + stack[-1].layout + _LINKS * share
                          + min(_LENGTH_MOST, _LENGTH * (text.count(" ") + 1)))
                 out.append(Block(text, holder, holder.depth, logit))
         pieces, linked = [], 0

@@ -326,3 +326,29 @@ def test_quality_and_toxicity_on_held_out_rows(spark, docs, none):
 
 def test_vocabulary_is_a_parameter():
     assert vocabulary_path("word_bpe_49k.json") == WORDS
+
+
+SENTENCE = "One two three four five six seven eight nine ten eleven."
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div class='article-with-sidebar'><p>{SENTENCE}</p></div>", SENTENCE),
+    (f"<article class='post search-results'><p>{SENTENCE}</p></article>", SENTENCE),
+    (f"<div id=search-results-page><article><p>{SENTENCE}</p></article></div>", SENTENCE),
+    (f"<div id=search-results-page><p>{SENTENCE}</p></div>", ""),
+    (f"<div id=comments><article class=comment><p>{SENTENCE}</p></article></div>", ""),
+    ("<article><p>One is <a href=x title=it's>link</a> and the rest goes on for long enough.</p><p>It's two of them.</p></article>",
+     "One is link and the rest goes on for long enough.\n\nIt's two of them."),
+    (f"<article><a title='a > b' href=\"c>d\">{SENTENCE}</a><p>{SENTENCE}</p><p title='>", f"{SENTENCE}\n\n{SENTENCE}"),
+    ("<script a='1' b='2'" * 400, ""),
+])
+def test_page_names_and_quotes(html, want):
+    assert pagetext.main_text(html) == want
+
+
+def test_the_cut_decides_a_short_block_by_its_neighbours():
+    long = " ".join(["word"] * 40)
+    alone, between = f"<body><p>Yes.</p></body>", f"<body><p>{long}</p><p>Yes.</p><p>{long}</p></body>"
+    own = [b.logit for b in pagetext.blocks_of(between)]
+    assert own[0] > 0 > own[1] and own[2] > 0          # by its own cost the short block would go
+    assert pagetext.main_text(alone) == "" and pagetext.main_text(between) == f"{long}\n\nYes.\n\n{long}"
