@@ -9,7 +9,7 @@ from curata.catalog.articles import GEN_SQL
 from curata.catalog.shared import CREATED_AT, article_store
 from curata.oracle import sql as O
 from curata.operators.publish import (archive_search, facets, json_feed_items, rss_items,
-                                      search_index, similarity_display, teasers, text_blocks)
+                                      search_index, shown_blocks, similarity_display, teasers, text_blocks)
 from curata.plans import publication
 from curata.sources.items import document_items
 
@@ -81,8 +81,8 @@ SELECT CAST(article_id AS BIGINT) AS article_id, {_blocks_sql('what_changed')} A
 def text_blocks_q(spark, sf_dir):
     arts = article_store(spark, sf_dir).articles()
     return arts.select("article_id",
-                       F.array_join(text_blocks(F.col("what_changed")), "\n").alias("what_blocks"),
-                       F.array_join(text_blocks(F.col("comparison")), "\n").alias("comparison_blocks"))
+                       shown_blocks(text_blocks("what_changed")).alias("what_blocks"),
+                       shown_blocks(text_blocks("comparison")).alias("comparison_blocks"))
 
 
 @register("facets", f"""WITH {PUB_SQL},

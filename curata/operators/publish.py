@@ -55,28 +55,39 @@ def view(published: DataFrame) -> DataFrame:
         F.coalesce("scope_tags", F.array().cast("array<string>")).alias("tags"))
 
 
+BLOCKS = "array<struct<type:string,text:string,items:array<string>>>"
+
+
 def text_blocks(text) -> Column:
-    """Lines -> blocks; a run of '- ' lines is one list block, other
-    non-blank lines are paragraphs, a blank line closes a list. Encoded as
-    'P:<text>' / 'L:<item>|<item>'."""
+    """Lines -> array<struct<type, text, items>>; a run of '- ' lines is one ``list``
+    block, other non-blank lines are ``paragraph`` blocks, a blank line closes a list."""
     lines = F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), r"\R")
-    empty = F.array().cast("array<string>")
-    init = F.struct(empty.alias("blocks"), empty.alias("bullets"))
+    none = F.array().cast("array<string>")
+    init = F.struct(F.array().cast(BLOCKS).alias("blocks"), none.alias("bullets"))
+
+    def block(kind: str, text: Column, items: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"), items.alias("items"))
 
     def flushed(acc):
         return F.when(F.size(acc["bullets"]) > 0, F.array_append(
-            acc["blocks"], F.concat(F.lit("L:"), F.array_join(acc["bullets"], "|")))).otherwise(acc["blocks"])
+            acc["blocks"], block("list", F.lit(""), acc["bullets"]))).otherwise(acc["blocks"])
 
     def step(acc, line):
         s = strip_ws(line)
-        return (F.when(s == "", F.struct(flushed(acc).alias("blocks"), empty.alias("bullets")))
+        return (F.when(s == "", F.struct(flushed(acc).alias("blocks"), none.alias("bullets")))
                 .when(s.startswith("- "), F.struct(acc["blocks"].alias("blocks"), F.array_append(
                     acc["bullets"], strip_ws(F.substring(s, 3, 1 << 30))).alias("bullets")))
-                .otherwise(F.struct(F.array_append(flushed(acc), F.concat(F.lit("P:"), s)).alias("blocks"),
-                                    empty.alias("bullets"))))
+                .otherwise(F.struct(F.array_append(flushed(acc), block("paragraph", s, none)).alias("blocks"),
+                                    none.alias("bullets"))))
     return F.aggregate(lines, init, step, flushed)
 
 
+def shown_blocks(blocks: Column) -> Column:
+    """Blocks as lines: ``P:<text>`` or ``L:<item>|<item>``."""
+    return F.array_join(F.transform(blocks, lambda b: F.when(b["type"] == "list", F.concat(
+        F.lit("L:"), F.array_join(b["items"], "|"))).otherwise(F.concat(F.lit("P:"), b["text"]))), "\n")
+
+
 def facets(v: DataFrame) -> DataFrame:
     """(facet, value) for distinct non-empty sources and distinct tags, plus
     the site statistics (posts, sources, tags)."""

@@ -31,7 +31,9 @@ def test_publish_gate(spark):
 
 def test_text_blocks(spark):
     df = spark.createDataFrame([("Header line\n- one\n- two\n\nAfter",)], "t string")
-    assert df.select(text_blocks(F.col("t")).alias("b")).first().b == ["P:Header line", "L:one|two", "P:After"]
+    blocks = df.select(text_blocks(F.col("t")).alias("b")).first().b
+    assert [tuple(b) for b in blocks] == [("paragraph", "Header line", []), ("list", "", ["one", "two"]),
+                                          ("paragraph", "After", [])]
 
 
 def test_feeds_absolute_urls_and_escape(spark):
