@@ -17,6 +17,8 @@ numbers) and the cells of each shard pass through the driver.
 Recall depends on the vectors: near-uniform ones, as in the test tables, need about half of
 the entries for 0.9. SHARE is set for them; clustered vectors allow much less.
 
+Vectors are kept in the column's own precision and multiplied in doubles.
+
 Defined results: vectors that are null, zero, not of the usual length, or hold null or
 non-finite numbers take no part; ties go to the smaller id; fewer candidates than k are all
 returned; entries with the query's own id are left out; repeated rows are entries and
@@ -44,7 +46,7 @@ BLOCK = 1024
 CROWDED = 4.0
 
 
-def _matrix(column, dtype="<f4") -> np.ndarray:
+def _matrix(column, dtype: str) -> np.ndarray:
     rows = list(column)
     return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1).astype(np.float64)
 
@@ -88,8 +90,13 @@ def walk(first: np.ndarray, second: np.ndarray, weight: np.ndarray, enough: floa
     return seen
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector as float32 bytes) of the rows that take part, staged."""
+def _width(vectors: DataFrame) -> str:
+    """The number format that keeps the column's values: float32 for floats, else doubles."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def _usable(vectors: DataFrame, width: str) -> DataFrame:
+    """(vec_id, vector as bytes of ``width``) of the rows that take part, staged."""
     def run(batches):
         for batch in batches:
             keys, out = [], []
@@ -97,7 +104,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
                 row = np.array([np.nan if x is None else x for x in values], np.float64)
                 if len(row) and np.isfinite(row).all() and row.any():
                     keys.append(key)
-                    out.append(row.astype("<f4").tobytes())
+                    out.append(row.astype(width).tobytes())
             yield pd.DataFrame({"vec_id": keys, "vector": out})
 
     rows = vectors.where("vec_id is not null and embedding is not null").select(
@@ -109,7 +116,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
     """query_id, rank, vec_id, score: the k best rows found for each row of ``vectors``
     (vec_id, embedding) that meets the condition ``is_query``."""
     spark = vectors.sparkSession
-    rows = _usable(vectors)
+    width = _width(vectors)
+    rows = _usable(vectors, width)
     sizes = rows.groupBy(F.length("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
@@ -122,7 +130,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
         batches = list(batches)
         if batches:
             drawn = pd.concat(batches).sort_values("vec_id")
-            x = _matrix(drawn["vector"])
+            x = _matrix(drawn["vector"], width)
             for half, part in enumerate(np.array_split(x, [x.shape[1] // 2], axis=1)):
                 for c in lloyd(part, CENTROIDS):
                     yield pd.DataFrame({"half": [half], "centre": [c.astype("<f8").tobytes()]})
@@ -136,7 +144,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
     def enter(batches):
         for batch in batches:
             if len(batch):
-                yield batch.assign(cell=cells_of(_matrix(batch["vector"]), centres))
+                yield batch.assign(cell=cells_of(_matrix(batch["vector"], width), centres))
 
     entered = stage(rows.mapInPandas(enter, "vec_id long, vector binary, cell long"), "cells")
     weight = np.zeros(n_cells)
@@ -177,7 +185,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
             held = batch if held is None else pd.concat([held, batch])
             while held is not None and len(held):
                 part, held = held.iloc[:BLOCK], held.iloc[BLOCK:]
-                q = _matrix(part["vector"])
+                q = _matrix(part["vector"], width)
                 first, second = q[:, :half] @ centres[0].T, q[:, half:] @ centres[1].T
                 visits = [walk(x, y, weight, enough) for x, y in zip(first, second)]
                 bits = np.zeros((len(q), len(weight)), bool)
@@ -195,8 +203,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
     def rank(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q = np.frombuffer(r.queries, "<f4").reshape(len(r.query_ids), -1).astype(np.float64)
-                x = np.frombuffer(r.entries, "<f4").reshape(-1, q.shape[1]).astype(np.float64)
+                q = np.frombuffer(r.queries, width).reshape(len(r.query_ids), -1).astype(np.float64)
+                x = np.frombuffer(r.entries, width).reshape(-1, q.shape[1]).astype(np.float64)
                 ids, cells = np.asarray(r.vec_ids, np.int64), np.asarray(r.cells, np.int64)
                 own = np.asarray(r.query_ids, np.int64)
                 bits = np.unpackbits(np.frombuffer(r.visits, np.uint8).reshape(len(q), -1), axis=1)
