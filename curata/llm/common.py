@@ -199,14 +199,18 @@ def remainder(id_column: str, modulus: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, bound: int) -> DataFrame:
-    """(order, text, label): whole texts of about ``bound`` labelled rows at most, chosen by
-    a hash of the id, for fitting a classifier. ``usable``: a condition on ``doc_id``, if any."""
+    """(order, text, label): whole texts of about ``bound`` labelled ids at most, chosen by
+    a hash of the id, for fitting a classifier. ``usable``: a condition on ``doc_id``, if any.
+    An id counts once: with its larger label and its smallest text."""
     rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)))
     rows = rows if usable is None else rows.where(usable)
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, bound / max(1, rows.count()))
     order = F.xxhash64("doc_id", F.lit("sample"))
     rows = rows.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return (texts.join(F.broadcast(rows), "doc_id")
+    # a row per chosen id, so about ``bound`` small rows
+    return (texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id")
+            .agg(F.min("text").alias("text"), F.first("label").alias("label"))
             .select(order.alias("order"), "text", "label"))
