@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,29 +150,57 @@ def _sentence_scores(slots, sentence, dense, bias):
     return numbers, _sigmoid(np.bincount(inverse, dense[slots], len(numbers)) + bias), count
 
 
+def _rated(texts: list[str], model: Model, dense: np.ndarray):
+    """(score, number of the sentence with the highest score, that score) of each text; the
+    sentence is None where no sentence holds a known feature."""
+    quiet = float(np.log1p(-_sigmoid(model.bias)))
+    for slots, sentence in _features([t.encode() for t in texts]):
+        numbers, s, count = _sentence_scores(slots, sentence, dense, model.bias)
+        rest = np.log1p(-np.minimum(s, 1 - 1e-12)).sum() + quiet * (count - len(numbers))
+        worst = int(np.argmax(s)) if len(s) else None
+        yield (float(-np.expm1(rest)) if count else 0.0,
+               *((None, None) if worst is None else (int(numbers[worst]), float(s[worst]))))
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
-                       F.col("doc_id").isNull().alias("no_id"), whole_text().alias("text"))
+    """(doc_id, score, worst_sentence, worst_score) of every row of ``docs`` (doc_id, text).
+    Sentences are numbered by the sentence ends before them; ties go to the first; null where
+    no sentence holds a known feature."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     if model is None:
-        scored = rows.select("doc_id", "no_id", F.lit(0.0).alias("score"))
-    else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches):
-            model = shared.value
-            dense = model.dense()
-            quiet = float(np.log1p(-_sigmoid(model.bias)))
-            for batch in batches:
-                out = []
-                for slots, sentence in _features([t.encode() for t in batch["text"]]):
-                    numbers, s, count = _sentence_scores(slots, sentence, dense, model.bias)
-                    rest = np.log1p(-np.minimum(s, 1 - 1e-12)).sum() + quiet * (count - len(numbers))
-                    out.append(float(-np.expm1(rest)) if count else 0.0)
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "score": out})
-
-        scored = rows.mapInPandas(run, "doc_id long, no_id boolean, score double")
-    return scored.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "score")
+        return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("long").alias("worst_sentence"),
+                           F.lit(None).cast("double").alias("worst_score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        dense = model.dense()
+        for batch in batches:
+            rated = list(_rated(batch.column("text").to_pylist(), model, dense))
+            score, sentence, worst = zip(*rated) if rated else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(sentence, pa.int64()),
+                 pa.array(worst, pa.float64())], ["doc_id", "score", "worst_sentence", "worst_score"])
+
+    return rows.mapInArrow(run, "doc_id long, score double, worst_sentence long, worst_score double")
+
+
+def passing(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that score less than ``limit``. The
+    verdict is taken on the row itself, whatever its id, and nothing is shuffled."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        model = shared.value
+        dense = model.dense()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([s < limit for s, *_ in _rated(texts, model, dense)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -203,4 +232,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, remainder("doc_id", 5) != 0)
     return score(docs, model).select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_sentence", "worst_score")
