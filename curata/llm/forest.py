@@ -328,3 +328,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(unnamed).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and any other columns) for each group: that of the
+    smallest doc_id, null ids last. Rows are told apart by a number written with them, so null
+    and repeated ids are rows like all others; of two rows with one id one stays."""
+    key = "row"
+    while key in [c.lower() for c in docs.columns]:
+        key += "_"
+    keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), size, percent)
+    named = keyed.select(F.col(key).alias("at"), F.col("doc_id").alias("id"))
+    first = (found.select(F.col("doc_id").alias("at"), "component_id").join(named, "at").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("first"))
+             .select(F.col("first.at").alias(key)))
+    return keyed.join(first, key, "left_semi").select(docs.columns)

@@ -61,16 +61,18 @@ def _doubled(hashes: str, step: int) -> Column:
     return F.zip_with(F.slice(hashes, 1, F.greatest(count, F.lit(0))), after, lambda x, y: F.xxhash64(x, y))
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
     """The base measures and both histograms (shares that sum to 1; null where a guard
-    holds) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"),
+    holds) of every document; with ``carry``, also the document itself as the struct ``row``."""
+    row = [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"),
                        F.col("lang").cast("string").alias("lang"))
+    carried = ["row"] if carry else []
     spaced = F.regexp_replace("text", r"[\x09-\x0D]+", " ")
     rows = rows.withColumn("words", F.array_remove(F.split(spaced, " ", -1), ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD))
     rows = rows.select(
-        "doc_id", "lang", F.size("words").cast("long").alias("n_words"),
+        *carried, "doc_id", "lang", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         *[_matches(pattern).cast("long").alias(name) for name, pattern in _COUNTED.items()],
         F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"),
@@ -103,7 +105,7 @@ def measure(docs: DataFrame) -> DataFrame:
                      F.array((F.col("n_words") - hits) / F.col("n_words")))
     long_enough = (F.col("chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_HISTOGRAM_WORDS)
     return rows.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols",
+        *carried, "doc_id", "lang", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.when(long_enough, F.array(*[c / F.col("bytes") for c in counts])).alias("char_share"),
@@ -134,9 +136,8 @@ def _references(rows: DataFrame) -> DataFrame:
         F.filter(means("word_share", words), lambda x: x.isNotNull()).alias("word_reference"))
 
 
-def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """Base measures, distances and verdict of every document (doc_id, text, lang)."""
-    measured = stage(measure(docs), "rules")
+def _judged(measured: DataFrame, max_char: float, max_word: float) -> DataFrame:
+    """``measured`` with both distances, base_failed and kept."""
     references = _references(measured).withColumnRenamed("lang", "lang_")
     # a row per language, so a broadcast join once Spark has seen its size; the skewed side stays in place
     rows = measured.join(references, F.col("lang").eqNullSafe(F.col("lang_")), "left")
@@ -147,6 +148,17 @@ def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float
             .withColumn("base_failed", failed))
     diverges = (F.coalesce(F.col("char_distance") > max_char, F.lit(False))
                 | F.coalesce(F.col("word_distance") > max_word, F.lit(False)))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "base_failed", (~F.col("base_failed") & ~diverges).alias("kept"),
-                       "char_distance", "word_distance")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~diverges)
+
+
+def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """Base measures, distances and verdict of every document (doc_id, text, lang)."""
+    return _judged(stage(measure(docs), "rules"), max_char, max_word).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "char_distance", "word_distance")
+
+
+def passing(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that are kept. Each is staged with its measures, so the verdict is
+    taken on the row itself, whatever its id, and texts are not joined back."""
+    return _judged(stage(measure(docs, carry=True), "rules"), max_char, max_word).where("kept").select("row.*")
