@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of the documents. A stage's result is written as Parquet to the shared folder and
 read again as the next one's documents, so a lost executor costs no earlier stage.
+
+Defined results: a verdict belongs to the row, not to its id, so rows with null or repeated
+ids are judged like all others; a null text has no words, so the quality rules reject it; of
+a group of near-duplicates the row of the smallest doc_id stays, null ids last, and of two
+rows with one id one; an empty table gives no rows; extra columns pass every filter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from curata.llm import forest, packing, rules, toxicity
 from curata.llm.common import read, stage
@@ -18,28 +22,23 @@ SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``rejected`` (doc_id); a null id is never."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model (fitted on the labels of these documents) passes."""
     ship_package(spark)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).where(F.col("score") >= 0.5))
+    return toxicity.passing(docs, model)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and do not diverge from their language."""
     ship_package(spark)
-    return _without(docs, rules.judge(docs).where(~F.col("kept")))
+    return rules.passing(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
     ship_package(spark)
-    return _without(docs, forest.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where(~F.col("kept")))
+    return forest.representatives(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: a trained model and a search over bins are not for SQL; tests/llm compares brute force
+#: a trained model and a search over bins are not for SQL; tests/llm compares every stage with
+#: a plain version on a small table
 ORACLE_SQL = None
 
 
