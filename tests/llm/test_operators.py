@@ -290,6 +290,10 @@ def test_neighbours_reach_the_recall(spark, docs):
     few = neighbours.neighbours_of_twentieths(vectors.where("vec_id < 4")).collect()
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == sorted([1, 2, 3], key=lambda i: (-exact[0, i], i))
     assert neighbours.neighbours_of_twentieths(vectors.limit(0)).count() == 0
+    fine = np.random.default_rng(5).standard_normal((60, 8))  # doubles that float32 would round
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(fine)], "vec_id long, embedding array<double>")
+    for r in neighbours.neighbours_of_twentieths(table).collect():
+        assert abs(r.score - float(fine[r.query_id] @ fine[r.vec_id])) < 1e-12
 
 
 def test_quality_and_toxicity_on_held_out_rows(spark, docs, none):
@@ -320,6 +324,8 @@ def test_quality_and_toxicity_on_held_out_rows(spark, docs, none):
         assert module.score_documents(table, marks.limit(0)).count() == 600
     model = toxicity.train(table, marks, remainder("doc_id", 5) != 0)
     found = toxicity.offending_sentences(table.where("doc_id in (0, 1, 5)"), model, 0.3).collect()
+    worst = {r.doc_id: r.worst_sentence for r in toxicity.score(table, model).where("doc_id in (0, 5)").collect()}
+    assert worst == {0: 14, 5: 0}
     # document 0 ends each word with two sentence ends, so its eighth word is in sentence 14
     assert {(r.doc_id, r.sentence) for r in found} == {(0, 14), (5, 0)}
 
