@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,6 +194,17 @@ def batched_bytes(sizes, limit: int):
         yield slice(start, len(sizes))
 
 
+def text_slices(batches, limit: int = SCANNED_BYTES):
+    """Arrow batches cut so that their texts (column ``text``, string) sum to about ``limit``
+    bytes: what a task works out beside a batch does not grow with the rows of a batch."""
+    for batch in batches:
+        at = [c.lower() for c in batch.schema.names].index("text")
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        for few in batched_bytes(sizes, limit):
+            part = batch.slice(few.start, few.stop - few.start)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
+
+
 def remainder(id_column: str, modulus: int):
     """crc32(id as text) mod ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus

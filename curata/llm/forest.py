@@ -38,11 +38,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import combine, hash_words, mix, stage, whole_text
+from curata.llm.common import combine, hash_words, mix, stage, text_slices, whole_text
 from curata.operators.components import star_components
 
 TREES = 20
@@ -81,16 +82,17 @@ def _sets(texts, size: int):
 def _described(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, set size, fingerprint of the set, signature (both null for the empty set)."""
     def run(batches):
-        for batch in batches:
-            sets = _sets(batch["text"], size)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].to_numpy(), "n": [len(s) for s in sets],
-                "fingerprint": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "signature": [signature(s).astype(">u4").tobytes() if len(s) else None for s in sets]})
+        for batch, texts in text_slices(batches):
+            sets = _sets(texts, size)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([signature(s).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "n", "fingerprint", "signature"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                    whole_text().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, fingerprint binary, signature binary")
+    return rows.mapInArrow(run, "doc_id long, n long, fingerprint binary, signature binary")
 
 
 class _Scan:
@@ -174,12 +176,13 @@ _SCANNED = "a long, b long, tree int, key binary, node long, n long, task int, a
 def full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the sets of the documents in ``wanted`` (doc_id)."""
     def make(batches):
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [s.tobytes() for s in _sets(batch["text"], size)]})
+        for batch, texts in text_slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(texts, size)], pa.binary())], ["node", "shingles"])
 
     texts = (docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
              .join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return stage(texts.mapInPandas(make, "node long, shingles binary"), "sets")
+    return stage(texts.mapInArrow(make, "node long, shingles binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

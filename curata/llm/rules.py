@@ -33,6 +33,7 @@ WINDOW = 8
 MAX_REPEATED_PERCENT = 30
 MIN_CHARS = 400
 MIN_HISTOGRAM_WORDS = 80
+MAX_BROADCAST_LANGUAGES = 10_000
 MAX_CHAR_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.285
 
@@ -138,8 +139,9 @@ def _references(rows: DataFrame) -> DataFrame:
 
 def _judged(measured: DataFrame, max_char: float, max_word: float) -> DataFrame:
     """``measured`` with both distances, base_failed and kept."""
-    references = _references(measured).withColumnRenamed("lang", "lang_")
-    # a row per language, so a broadcast join once Spark has seen its size; the skewed side stays in place
+    references = stage(_references(measured).withColumnRenamed("lang", "lang_"), "references")
+    if references.count() <= MAX_BROADCAST_LANGUAGES:  # else Spark joins on the language
+        references = F.broadcast(references)  # the documents, skewed by language, stay in place
     rows = measured.join(references, F.col("lang").eqNullSafe(F.col("lang_")), "left")
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import SCANNED_BYTES, batched_bytes, labelled_sample, remainder, scan_words, whole_text
+from curata.llm.common import SCANNED_BYTES, batched_bytes, labelled_sample, remainder, scan_words, text_slices, whole_text
 
 BITS = 22
 SAMPLE = 8_000
@@ -41,6 +41,7 @@ _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".!?\n"]] = True
 #: letters, digits and all bytes of non-ASCII characters make words
 _CLASSES = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)], np.uint8)
+_BEFORE_WORDS = re.compile(rb"[^0-9A-Za-z\x80-\xff]*")
 _SENTENCE_END = re.compile(r"[.!?\n]")
 
 
@@ -154,12 +155,16 @@ def _rated(texts: list[str], model: Model, dense: np.ndarray):
     """(score, number of the sentence with the highest score, that score) of each text; the
     sentence is None where no sentence holds a known feature."""
     quiet = float(np.log1p(-_sigmoid(model.bias)))
-    for slots, sentence in _features([t.encode() for t in texts]):
+    texts = [t.encode() for t in texts]
+    for text, (slots, sentence) in zip(texts, _features(texts)):
         numbers, s, count = _sentence_scores(slots, sentence, dense, model.bias)
         rest = np.log1p(-np.minimum(s, 1 - 1e-12)).sum() + quiet * (count - len(numbers))
-        worst = int(np.argmax(s)) if len(s) else None
-        yield (float(-np.expm1(rest)) if count else 0.0,
-               *((None, None) if worst is None else (int(numbers[worst]), float(s[worst]))))
+        if len(s):
+            worst = int(np.argmax(s))
+            head = _BEFORE_WORDS.match(text).group()  # numbers run on over texts scanned together
+            first = len(head) - len(head.translate(None, b".!?\n"))
+            found = (int(numbers[worst] - sentence[0]) + first, float(s[worst]))
+        yield (float(-np.expm1(rest)) if count else 0.0, *(found if len(s) else (None, None)))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -175,9 +180,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         model = shared.value
         dense = model.dense()
-        for batch in batches:
-            rated = list(_rated(batch.column("text").to_pylist(), model, dense))
-            score, sentence, worst = zip(*rated) if rated else ((), (), ())
+        for batch, texts in text_slices(batches):
+            score, sentence, worst = zip(*_rated(texts, model, dense))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(sentence, pa.int64()),
                  pa.array(worst, pa.float64())], ["doc_id", "score", "worst_sentence", "worst_score"])
@@ -191,13 +195,11 @@ def passing(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFra
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         model = shared.value
         dense = model.dense()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
+        for batch, texts in text_slices(batches):
             yield batch.filter(pa.array([s < limit for s, *_ in _rated(texts, model, dense)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
