@@ -10,7 +10,7 @@ use up a query's walk). All entries of these cells are ranked by their exact inn
 Plan: vectors are range-sorted by cell into shards of at most ``SHARD`` rows, queries are
 gathered in blocks of ``BLOCK``; a block meets each shard that one of its queries visits
 (an equi-join on the shard number), a task multiplies the two matrices and keeps each
-query's best k, and a window over (query, rank) merges the shards. A cell with a third of
+query's best k over its shards (for ``HELD`` blocks at a time), and a window over (query, rank) merges the shards. A cell with a third of
 all vectors is many shards. Only the centroids, the entries per cell (at most CENTROIDS^2
 numbers) and the cells of each shard pass through the driver.
 
@@ -44,6 +44,7 @@ LEAST = 20  # entries to walk at least, for each result wanted
 SHARD = 4096
 BLOCK = 1024
 CROWDED = 4.0
+HELD = 64  # query blocks whose best rows a task merges over its shards
 
 
 def _matrix(column, dtype: str) -> np.ndarray:
@@ -201,6 +202,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
         .withColumn("block", F.monotonically_increasing_id()), "query-blocks")
 
     def rank(batches):
+        held = {}  # a task meets many shards of a block: k rows a query leave it, not k a shard
         for batch in batches:
             for r in batch.itertuples(index=False):
                 q = np.frombuffer(r.queries, width).reshape(len(r.query_ids), -1).astype(np.float64)
@@ -219,7 +221,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
                     best = best[np.lexsort((ids[best], -scores[i][best]))][:k]
                     out.append(pd.DataFrame({"query": i, "query_id": own[i], "vec_id": ids[best],
                                              "score": scores[i][best]}))
-                yield pd.concat(out).assign(block=r.block)
+                best = pd.concat(out).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+                if r.block in held:
+                    best = pd.concat([held[r.block], best]).sort_values(
+                        ["query", "score", "vec_id"], ascending=[True, False, True]).groupby("query").head(k)
+                held[r.block] = best.assign(block=r.block)
+                if len(held) > HELD:
+                    yield from held.values()
+                    held = {}
+        yield from held.values()
 
     met = blocks.select("block", "query_ids", "queries", "visits", F.explode("wanted").alias("shard")).join(shards, "shard")
     found = met.mapInPandas(rank, "block long, query long, query_id long, vec_id long, score double")
