@@ -6,7 +6,9 @@ components of links are groups.
 
 * Documents with equal sets collapse to one representative first, by partial aggregation.
 * The forest: each representative has ``TREES`` signatures of ``DEPTH`` minimum hashes. Each
-  tree is one sorted order of the signatures. A document's candidates are its ``NEIGHBOURS``
+  tree is one sorted order of the signatures, by its own hashes and then by those of the next
+  tree, ``ORDER_DEPTH`` in all, so rows of a dense region are still told apart. A document's
+  candidates are its ``NEIGHBOURS``
   next ones in the order, the longest common prefixes, as long as the prefix is at least
   ``LEAST_DEPTH`` deep; so a sparse region is searched at that depth and a dense one only
   deeper. The first document of a region in a task is one more candidate of all its others,
@@ -17,11 +19,13 @@ components of links are groups.
 * A region (equal first ``LEAST_DEPTH`` hashes in a tree) with more rows than a window that
   is still in several components is finished in two steps. Its row with the most links meets
   all its others, which joins an original and copies edited in different places. Then every
-  pair of two components meets: rows outside the region's largest component go to all its
-  blocks of about ``BLOCK`` rows, where pairs are compared on their full sets unless their
-  signatures agree in too few places (a true link has so few with less than 1e-8). So each
-  pair that shares a region is linked, connected otherwise or compared, once. Only links
-  leave a task; its work is quadratic in rows that share regions but have no links.
+  pair of two components meets: a region of over ``2 * BLOCK`` rows is cut into slices of
+  about ``BLOCK``, those of its largest component apart, and each two slices that may hold
+  such a pair are one cell, so no group grows with the region. In a cell pairs are compared
+  on their full sets unless their signatures agree in too few places (a true link has so few
+  with less than 1e-8). So each pair that shares a region is linked, connected otherwise or
+  compared, once. Only links leave a task; the work is quadratic in rows that share regions
+  but have no links, and is spread over the cells.
 
 A pair of similarity 0.8 shares a prefix of four with probability 0.41 a tree, so 20 trees
 miss it with 3e-5 (0.9: 1e-9). The range sort's tasks hand their first and last rows to one
@@ -48,10 +52,11 @@ from curata.operators.components import star_components
 
 TREES = 20
 DEPTH = 6
+ORDER_DEPTH = 2 * DEPTH
 LEAST_DEPTH = 4
 NEIGHBOURS = 4
 SALTS = 16
-BLOCK = 2048
+BLOCK = 512
 _CHUNK = 4096
 _U64 = np.uint64
 _A = mix(np.arange(1, TREES * DEPTH + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15)) | _U64(1)
@@ -108,7 +113,7 @@ class _Scan:
         carried = [x for x in (self.first, self.tail) if x is not None and len(x)]
         before = sum(map(len, carried))
         every = pd.concat([*carried, rows], ignore_index=True)
-        key = np.frombuffer(b"".join(every["key"]), ">u4").reshape(len(every), DEPTH)
+        key = np.frombuffer(b"".join(every["key"]), ">u4").reshape(len(every), ORDER_DEPTH)
         region = np.column_stack([every["tree"].to_numpy(), key[:, :LEAST_DEPTH].astype(np.int64)])
         node, n = every["node"].to_numpy(), every["n"].to_numpy()
         place = np.arange(len(every))
@@ -135,8 +140,9 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     trees they are neighbours."""
     width = 4 * DEPTH
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = nodes.select("node", "n", "signature", trees).select(
-        "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key"), "node", "n")
+    # the last tree goes on with the first one's hashes
+    rows = nodes.select("node", "n", F.concat("signature", F.substring("signature", 1, width)).alias("ring"), trees).select(
+        "tree", F.substring("ring", F.col("tree") * width + 1, F.lit(4 * ORDER_DEPTH)).alias("key"), "node", "n")
 
     def run(batches):
         task, at, scan, tail = TaskContext.get().partitionId(), 0, _Scan(percent), None
@@ -242,31 +248,49 @@ def hub_pairs(dense: DataFrame, percent: int) -> DataFrame:
             .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
 
 
-def open_links(dense: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): the links among all pairs of a region in different components."""
-    places, share = TREES * DEPTH, percent / 100
-    limit = places * share - 6 * (places * share * (1 - share)) ** 0.5
+def open_cells(dense: DataFrame, groups: DataFrame) -> DataFrame:
+    """region, i, j, tree, node, n, root, left, right: the rows of each region that is still in
+    several components, dealt to cells. A cell's left rows meet its right rows (a row may be
+    both); each two rows of different components meet in one cell of their region."""
     rows = (dense.select("region", "tree", "node", "n").join(groups, "node", "left")
             .withColumn("root", F.coalesce("root", "node")))
     parts = rows.groupBy("region", "root").agg(F.count("*").alias("c"))
+    slices = [F.ceil(F.expr(c) / BLOCK).cast("int").alias(name) for c, name in (("m - top.c", "minors"), ("top.c", "majors"))]
     regions = (parts.groupBy("region").agg(F.count("*").alias("parts"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
-               .where("parts > 1").select("region", F.col("top.root").alias("major"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = stage(_salted(rows, regions), "open-rows")
+               .where("parts > 1").select("region", F.col("top.root").alias("major"), "m", *slices))
+    minor = F.col("root") != F.col("major")
+    place = F.xxhash64("node", F.lit(1))
+    at = F.when(minor, F.pmod(place, "minors")).otherwise(F.col("minors") + F.pmod(place, "majors")).cast("int")
+
+    def cell(i, j, left, right):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
+
+    at_once = F.array(cell(F.lit(0), F.lit(0), minor, F.lit(True)))
+    with_all = F.transform(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1), lambda k: cell(
+        F.least("at", k), F.greatest("at", k), F.col("at") <= k, F.col("at") >= k))
+    with_minors = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: cell(
+        k, F.col("at"), F.lit(False), F.lit(True)))
+    return (_salted(rows, regions).withColumn("at", at)
+            .withColumn("cell", F.explode(F.when(F.col("m") <= 2 * BLOCK, at_once).when(minor, with_all).otherwise(with_minors)))
+            .select("region", "cell.i", "cell.j", "tree", "node", "n", "root", "cell.left", "cell.right"))
+
+
+def open_links(dense: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the links among all pairs of a region in different components."""
+    places, share = TREES * DEPTH, percent / 100
+    limit = places * share - 6 * (places * share * (1 - share)) ** 0.5
+    rows = stage(open_cells(dense, groups), "open-rows")
     sets = full_sets(rows.select(F.col("node").alias("doc_id")).distinct(), docs, size)
-    met = (rows.join(nodes.select("node", "signature").join(sets, "node"), "node")
-           .withColumn("home", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-           .withColumn("block", F.explode(F.when(F.col("root") == F.col("major"), F.array("home"))
-                                          .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))))
+    met = rows.join(nodes.select("node", "signature").join(sets, "node"), "node")
 
     def run(rows):
         keys = np.frombuffer(b"".join(rows["signature"]), ">u4").reshape(len(rows), places)
         marks = keys.astype(np.uint8).T.copy()
         prefixes = keys.reshape(len(rows), TREES, DEPTH)[:, :rows["tree"].iloc[0], :LEAST_DEPTH]
         sets = [np.frombuffer(x, _U64) for x in rows["shingles"]]
-        node, n, root = (rows[c].to_numpy() for c in ("node", "n", "root"))
-        minor = root != rows["major"].to_numpy()
-        home, out = np.flatnonzero(rows["home"].to_numpy() == rows["block"].to_numpy()), []
-        here, away = marks[:, home], np.flatnonzero(minor)
+        node, n, root, left, right = (rows[c].to_numpy() for c in ("node", "n", "root", "left", "right"))
+        home, away, out = np.flatnonzero(right), np.flatnonzero(left), []
+        here = marks[:, home]
         for at in range(0, len(away), 128):
             some = away[at:at + 128]
             same = np.zeros((len(some), len(home)), np.uint8)
@@ -274,7 +298,7 @@ def open_links(dense: DataFrame, nodes: DataFrame, groups: DataFrame, docs: Data
                 same += marks[place, some][:, None] == here[place]
             ok = (same >= limit) & (root[some][:, None] != root[home])
             ok &= 100 * np.minimum(n[some][:, None], n[home]) >= percent * np.maximum(n[some][:, None], n[home])
-            ok &= ~minor[home] | (node[some][:, None] < node[home])  # two minor rows meet in both home blocks
+            ok &= ~left[home] | (node[some][:, None] < node[home])  # two rows on both sides meet twice
             for x, found in zip(some, ok):
                 others = home[found]  # less those that meet in the region of an earlier tree
                 others = others[~(prefixes[others] == prefixes[x]).all(axis=2).any(axis=1)]
@@ -287,7 +311,7 @@ def open_links(dense: DataFrame, nodes: DataFrame, groups: DataFrame, docs: Data
                     out += [(min(node[x], y), max(node[x], y)) for y in node[linked]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return met.groupBy("region", "block").applyInPandas(run, "a long, b long").distinct()
+    return met.groupBy("region", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -161,6 +161,30 @@ def test_forest_links_a_hub_with_copies_edited_in_different_places(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_forest_splits_regions_of_unlinked_pages_from_one_template(spark, monkeypatch):
+    template = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(2000):  # to each other 0.75; each of the last 20 is linked with the row before it
+        own = [f"new{k}x{i}" for i in range(20)]
+        texts.append((k, " ".join(template + own)))
+        if k >= 1980:
+            texts.append((k + 20, " ".join(template + own[:-2] + ["other", str(k)])))
+    sizes = []
+    cells = forest.open_cells
+
+    def counted(dense, groups):
+        rows = cells(dense, groups)
+        sizes.append(rows.groupBy("region", "i", "j").count().agg({"count": "max"}).first()[0])
+        sizes.append(rows.select("i", "j").distinct().count())
+        return rows
+
+    monkeypatch.setattr(forest, "open_cells", counted)
+    keyed = [(i, text) for i, (_, text) in enumerate(texts)]
+    got = forest.near_duplicates(spark.createDataFrame(keyed, "doc_id long, text string").repartition(5), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - (i >= 1980 and i % 2) for i, _ in keyed}
+    assert sizes[1] > 6 and sizes[0] <= 2 * forest.BLOCK + 128
+
+
 PAGES = [(4, "http://a/4", "<p>same</p>"), (9, None, "<p>same</p>"), (2, "http://a/2\r\nX: y", "<p>same</p>"), (1, "u", None),
          (3, "u", ""), (5, "u", "<p>ünlike"), (9, "u", "<p>same</p>"), (None, "u", "<p>same</p>"), (6, "u", "x" * 700_000)]
 
