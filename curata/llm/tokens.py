@@ -3,8 +3,9 @@
 White space never lies inside a token of either vocabulary used here, so the ids of a
 text are those of its white-space separated words, one after the other. A word's ids are
 worked out once per worker and kept in a bounded memo; a text with characters outside the
-plain Latin range (where normal forms or case rules may look at neighbours) goes to the
-library whole.
+plain Latin range (where normal forms or case rules may look at neighbours), or one that
+holds the string of an added token (as ``<|endoftext|>``, which the library makes one id
+wherever it stands), goes to the library whole.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings are ordinary text
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.limit = limit
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -64,7 +65,9 @@ class WordTokens(dict):
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian uint32 bytes."""
         if _PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, text.lower().split()))
+            plain = text.lower()
+            if not any(mark in plain for mark in self.added):
+                return b"".join(map(self.__getitem__, plain.split()))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
