@@ -9,8 +9,8 @@ from curata.catalog.shared import THRESHOLD, TOP_K, related_items, relevant_item
 from curata.functions.text import scored_sentences, sentences
 from curata.functions.urls import with_identity
 from curata.oracle import sql as O
-from curata.operators.summarize import extractive, prompts
-from curata.plans.generation import related_arrays
+from curata.operators.summarize import extracted, extractive, prompts
+from curata.plans.generation import with_related
 from curata.scope import TEST_SCOPE
 from curata.sources.archive import build_content_cache, with_cached_content
 from curata.sources.items import page_items
@@ -42,12 +42,8 @@ inp AS (SELECT rel.*, coalesce(relp.related, []) AS related FROM rel LEFT JOIN r
 
 
 def summary_inputs(spark, sf_dir):
-    rel = relevant_items(spark, sf_dir)
-    related = related_arrays(related_items(spark, sf_dir))
-    return rel.join(related, "item_id", "left").withColumn(
-        "related", F.coalesce("related", F.array().cast(
-            "array<struct<related_item_id:bigint,related_title:string,related_url:string,"
-            "related_summary:string,similarity:double>>")))
+    rel = relevant_items(spark, sf_dir).select("item_id", "title", "url", "summary", "content")
+    return with_related(rel, related_items(spark, sf_dir))
 
 
 @register("page_text", f"SELECT page_id, {O.page_text('html')} AS text FROM pages")
@@ -102,7 +98,9 @@ SELECT item_id,
             ELSE '' END AS comparison
 FROM p""")
 def extractive_summary_q(spark, sf_dir):
-    return extractive(summary_inputs(spark, sf_dir), TEST_SCOPE.name).select(
+    own = extracted(relevant_items(spark, sf_dir)).select("item_id", "what_changed")   # no text is shuffled
+    inputs = with_related(own, related_items(spark, sf_dir).drop("related_summary"))
+    return extractive(inputs, TEST_SCOPE.name).select(
         "item_id", "what_changed", "comparison")
 
 

@@ -61,22 +61,29 @@ def assemble_body(title="title", what="what_changed", why="why_it_matters",
     return strip_ws(parts)
 
 
-def extractive(inputs: DataFrame, scope_name: str = "", k: int = 3) -> DataFrame:
-    """The extractive engine: the k most salient sentences of the best text in
-    document order; else the summary; else the title."""
+def extracted(items: DataFrame, k: int = 3) -> DataFrame:
+    """Adds ``what_changed``: the k most salient sentences of the best text in document order;
+    else the summary; else the title. It needs nothing but the item."""
     summary = F.coalesce(F.col("summary"), F.lit(""))
     fallback = F.when(summary != "", summary).otherwise(F.coalesce(F.col("title"), F.lit("")))
     # materialised step by step: the whole text is split into sentences once per row
-    staged = (inputs.withColumn("_sents", sentences(best_text()))
+    staged = (items.withColumn("_sents", sentences(best_text()))
               .withColumn("_picked", top_sentences("_sents", k)).drop("_sents"))
     picked = F.col("_picked")
+    return staged.withColumn("what_changed", F.when(
+        F.size(picked) > 0, F.array_join(picked, " ")).otherwise(fallback)).drop("_picked")
+
+
+def extractive(inputs: DataFrame, scope_name: str = "", k: int = 3) -> DataFrame:
+    """The extractive engine: ``extracted`` (unless that has been done, so that the texts
+    could be dropped before a join), the scope's sentence and the related titles."""
+    staged = inputs if "what_changed" in inputs.columns else extracted(inputs, k)
     return staged.withColumns({
-        "what_changed": F.when(F.size(picked) > 0, F.array_join(picked, " ")).otherwise(fallback),
         "why_it_matters": why_it_matters(scope_name),
         "comparison": comparison_text("related"),
         "engine": F.lit("extractive"),
         "model": F.lit(""),
-    }).drop("_picked")
+    })
 
 
 def prompts(inputs: DataFrame, scope_name: str = "", text_chars: int | None = None,

@@ -16,7 +16,7 @@ from curata.functions.text import scoring_text
 from curata.operators.quality import check
 from curata.operators.relevance import scope_tags
 from curata.operators.similarity import find_related
-from curata.operators.summarize import assemble_body, extractive, merge_answers
+from curata.operators.summarize import assemble_body, extracted, extractive, merge_answers
 from curata.scope import Scope
 
 
@@ -31,29 +31,37 @@ def work_queue(items: DataFrame, articles: DataFrame | None, limit: int | None =
 
 
 def related_arrays(related: DataFrame) -> DataFrame:
-    """(item_id, related array<struct> in rank order); at most k rows per item."""
+    """(item_id, related array<struct> in rank order); at most k rows per item. The summaries
+    are there where ``related`` has them."""
+    texts = [c for c in ("related_title", "related_url", "related_summary") if c in related.columns]
     return related.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "rank", "related_item_id", "related_title", "related_url", "related_summary", "similarity"))),
+        "rank", "related_item_id", *texts, "similarity"))),
         lambda r: r.dropFields("rank")).alias("related"))
 
 
+def with_related(items: DataFrame, related: DataFrame) -> DataFrame:
+    """``items`` with the array ``related``, empty for an item without related priors."""
+    listed = related_arrays(related)
+    return items.join(listed, "item_id", "left").withColumn(
+        "related", F.coalesce("related", F.array().cast(listed.schema["related"].dataType)))
+
+
 def generate(queue: DataFrame, relevant: DataFrame, scope: Scope, answers: DataFrame | None = None,
              top_k: int = 3, min_similarity: float = 0.08, min_words: int = 40,
              max_words: int = 320, model: str = "", related: DataFrame | None = None) -> DataFrame:
     """Drafts with quality verdicts for every queued item. ``related``: the related priors,
     where they have been found and written before."""
     if related is None:
-        related = find_related(queue, relevant, top_k, min_similarity)
-    related = related_arrays(related)
-    inputs = (queue.join(related, "item_id", "left")
-              .withColumn("related", F.coalesce("related", F.array().cast(
-                  "array<struct<related_item_id:bigint,related_title:string,related_url:string,"
-                  "related_summary:string,similarity:double>>"))))
+        related = find_related(queue, relevant, top_k, min_similarity).drop("related_summary")
+    # what a draft takes from the item's texts is taken before any join, so no text is shuffled
+    tags = scope_tags(scope, hits=None if "strong_hits" in queue.columns else keyword_hits(
+        scoring_text("title", "summary"), scope.strong))
+    own = extracted(queue).withColumn("scope_tags", tags).select(
+        "item_id", "title", "url", "source_id", "what_changed", "scope_tags")
+    inputs = with_related(own, related)
     drafts = (merge_answers(inputs, answers, scope.name, model) if answers is not None
               else extractive(inputs, scope.name).withColumn("fallback", F.lit(False)))
     drafts = drafts.withColumns({
-        "scope_tags": scope_tags(scope, hits=None if "strong_hits" in drafts.columns else keyword_hits(
-            scoring_text("title", "summary"), scope.strong)),
         "sources": F.array(F.struct(F.col("url").alias("url"), F.col("title").alias("title"),
                                     F.col("source_id").alias("source_id"),
                                     F.lit(True).alias("is_primary"))),

@@ -108,6 +108,9 @@ class ArticleStore:
         nothing = {"generated": 0, "passed": 0, "flagged": 0, "failed_quality": 0, "llm_fallbacks": 0}
         if self.is_committed(run_id):
             return nothing | (stats or {})
+        kept = [f.split()[0] for f in ARTICLES.split(", ") if f.split()[0] in drafts.columns]
+        # the texts that a draft was made from stay behind
+        drafts = drafts.select(*(c for c in kept if c not in ("article_id", "run_id", "created_at")), "sources", "comparisons")
         new = materialize(drafts.join(self.articles().select("item_id"), "item_id", "left_anti"))
         twice = new.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
         if twice:

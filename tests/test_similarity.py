@@ -44,3 +44,30 @@ def test_all_pairs_equal_bruteforce(spark):
             if sim >= 0.08:
                 exp[(a, b)] = round(sim, 4)
     assert got == exp
+
+
+def test_no_copy_of_a_candidate_is_shuffled(spark, monkeypatch):
+    """Several blocks of priors: candidates meet them in a cartesian product of packed rows, and
+    the pairs are those of one block."""
+    from curata.operators import similarity as S
+    rows = [(i, f"t{i % 7} alpha{i % 3} beta{i % 5}", f"gamma{i % 4} delta{i % 2} rare{i // 2} common word", "u")
+            for i in range(60)]
+    docs, asked = _docs(spark, rows), _docs(spark, rows[:20] + [(99, "alpha1 beta2 unseen", "rare3 common", "u")])
+    want = [sorted(map(tuple, S.find_related(c, docs, 3, 0.08).collect())) for c in (docs, asked)]
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 80)
+    monkeypatch.setattr(S, "CHUNK_POSTINGS", 60)
+    for dense in (0.03, 2.0):
+        monkeypatch.setattr(S, "_DENSE", dense)      # 2.0: inverted lists only
+        found = [S.find_related(c, docs, 3, 0.08) for c in (docs, asked)]
+        assert [sorted(map(tuple, f.collect())) for f in found] == want
+    plan = found[0]._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan
+
+
+def test_related_pairs_are_stored_without_texts(spark):
+    from conftest import SF001
+    from curata.catalog import shared
+    shared.forget()
+    assert "related_summary" in shared.related_items(spark, SF001).columns
+    path, schema = shared._WRITTEN[(spark.sparkContext.applicationId, SF001, "related-pairs")]
+    assert schema.names == ["item_id", "related_item_id", "similarity", "rank"]
