@@ -16,7 +16,7 @@ from curata.oracle import sql as O
 from curata.plans.daily import run_daily, run_status
 from curata.plans.publication import publish
 from curata.scope import TEST_SCOPE
-from curata.session import ensure_checkpoint_dir
+from curata.session import ensure_checkpoint_dir, stored
 from curata.sources.archive import build_content_cache, read_items, write_items
 from curata.sources.items import document_items, page_items
 
@@ -59,8 +59,10 @@ def run_status_q(spark, sf_dir):
     """Two whole daily runs over the page items: discovery, generation (a queue of 50), feeds,
     status row; the second one meets the archive of the first."""
     def make(root):
-        batch = page_items(spark, sf_dir)
-        landed = build_content_cache(with_identity(batch))
+        # written once: both runs read the items and the cache several times, and each reading
+        # would extract the pages' texts again
+        batch = stored(page_items(spark, sf_dir), "landed-items")
+        landed = stored(build_content_cache(with_identity(batch)), "landed-texts")
         for run in (1, 2):
             run_daily(batch.drop("content"), landed, root, TEST_SCOPE, run, CREATED_AT, LIMIT, base_url=BASE_URL,
                       top_k=TOP_K, min_similarity=THRESHOLD, min_words=MIN_WORDS, max_words=MAX_WORDS)

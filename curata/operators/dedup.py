@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curata.operators.components import connected_components
-from curata.session import ship_package
+from curata.session import ship_package, stored
 
 # in-batch insert groups of the archive write: kept rows, then in-batch
 # duplicates, then cross-run duplicates
@@ -135,20 +135,31 @@ def dedupe_within_batch(batch: DataFrame, seq: str = "seq", weight: str = "sourc
     """Adds ``batch_dup`` (bool), ``slot`` (seq of the row that opened the kept
     slot) and ``dup_at`` (seq at which the row became a duplicate) to ``batch``.
     ``seq`` must be unique within the batch."""
-    keys = batch.select(F.col(seq).alias("seq"),
-                        F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"),
-                        F.col(url_key).alias("u"), F.col(title_key).alias("t"))
+    decided = _decided(_batch_keys(batch, seq, weight, url_key, title_key))
+    return (batch.join(decided.withColumnRenamed("seq", seq), seq)
+            .withColumnRenamed("dup", "batch_dup"))
+
+
+def _batch_keys(batch: DataFrame, seq: str, weight: str = "source_weight", url_key: str = "url_fp",
+                title_key: str = "title_key") -> DataFrame:
+    """(seq, w, u, t), written once: the verdicts read the keys many times, and each reading
+    would cut, normalise and hash the texts of the batch again."""
+    return stored(batch.select(F.col(seq).alias("seq"),
+                               F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"),
+                               F.col(url_key).alias("u"), F.col(title_key).alias("t")), "batch-keys")
+
+
+def _decided(keys: DataFrame) -> DataFrame:
+    """(seq, slot, dup, dup_at) of the rows of ``_batch_keys``, written once."""
     comp = connected_components(keys.select("seq", "u", "t"), "seq", ["u", "t"])
-    rows = keys.join(comp, "seq")
+    rows = stored(keys.join(comp, "seq"), "batch-components")
     stats = rows.groupBy("component").agg(
         F.count_distinct("u").alias("n_u"), F.count_distinct("t").alias("n_t"),
         F.count_if(F.col("t").isNull()).alias("n_null_t"))
     rows = rows.join(stats, "component")
     is_simple = (F.col("n_u") == 1) | ((F.col("n_t") == 1) & (F.col("n_null_t") == 0))
-    decided = (_decide_simple(rows.where(is_simple).select("component", "seq", "w"))
-               .unionByName(_fold_mixed(rows.where(~is_simple).select("component", "seq", "w", "u", "t"))))
-    return (batch.join(decided.withColumnRenamed("seq", seq), seq)
-            .withColumnRenamed("dup", "batch_dup"))
+    return stored(_decide_simple(rows.where(is_simple).select("component", "seq", "w")).unionByName(
+        _fold_mixed(rows.where(~is_simple).select("component", "seq", "w", "u", "t"))), "batch-verdicts")
 
 
 # ------------------------------------------------------------------ cross-run
@@ -181,8 +192,13 @@ def dedupe(batch: DataFrame, archive: DataFrame, seq: str = "seq") -> DataFrame:
     """Full dedup: in-batch leader, then archive probes for the kept rows.
     Adds status_dedup in ('unique', 'duplicate'), ``dup_reason`` and
     ``insert_group`` / ``insert_at`` giving the archive insert order."""
-    inb = dedupe_within_batch(batch, seq=seq)
-    flagged = flag_cross_run(inb, archive)
+    keys = _batch_keys(batch, seq)
+    decided = _decided(keys)
+    # verdicts are made of keys alone; the texts of the batch are joined to them once
+    flags = flag_cross_run(keys.select("seq", "u", "t").distinct(), archive, "u", "t").groupBy("seq").agg(
+        F.max("cross_dup").alias("cross_dup"))
+    verdict = decided.join(flags, "seq").withColumnRenamed("dup", "batch_dup")
+    flagged = batch.join(verdict.withColumnRenamed("seq", seq), seq)
     cross = ~F.col("batch_dup") & F.col("cross_dup")
     return (flagged
             .withColumn("dup_reason", F.when(F.col("batch_dup"), F.lit("batch"))

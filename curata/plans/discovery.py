@@ -14,8 +14,8 @@ from curata.functions.urls import with_identity
 from curata.operators.dedup import GROUP_UNIQUE, dedupe, insert_or_ignore
 from curata.operators.relevance import apply_relevance
 from curata.scope import Scope, TEST_SCOPE
-from curata.session import materialize
-from curata.sources.archive import ITEM_SCHEMA, assign_ids, read_items, write_items
+from curata.session import stored
+from curata.sources.archive import ITEM_SCHEMA, dense_ids, read_items, write_items
 from curata.sources.items import document_items
 from curata.sources.tables import path_exists
 
@@ -85,17 +85,19 @@ def discovery_run(batch: DataFrame, root: str, scope: Scope, run_id: int) -> dic
     result = Observation()
     kept = [c for c in rows.columns if c not in ("content", "strong_hits", "normal_hits", "signal_hits", "exclude_hits")]
     # the rows are written once, and counted in that pass; everything after reads them back
-    seen = materialize(rows.select(*kept).observe(result, *run_counters()))
-    inserted = insert_or_ignore(seen, archive.select("url_fp"), order=["insert_group", "insert_at", "seq"])
+    seen = stored(rows.select(*kept).observe(result, *run_counters()), "run-rows")
+    order = ["insert_group", "insert_at", "seq"]
+    # which rows stay, and their ids, are told from keys; the texts are joined once
+    inserted = insert_or_ignore(seen.select("url_fp", *order), archive.select("url_fp"), order=order)
     last = archive.agg(F.max("item_id")).first()[0] or 0
-    numbered = assign_ids(inserted.drop("item_id"), ["insert_group", "insert_at", "seq"], start=last + 1, id_col="item_id")
+    numbered = seen.drop("item_id").join(dense_ids(inserted, order, start=last + 1, id_col="item_id"), order)
     if "fetched_at" not in numbered.columns:
         numbered = numbered.withColumn("fetched_at", F.current_timestamp())
     if "first_seen_at" not in numbered.columns:
         numbered = numbered.withColumn("first_seen_at", F.col("fetched_at"))
-    stored = Observation()
-    write_items(numbered.observe(stored, F.count(F.lit(1)).alias("inserted")), f"{root}/items")
-    stats = {k: int(v) for k, v in (result.get | stored.get).items()}
+    written = Observation()
+    write_items(numbered.observe(written, F.count(F.lit(1)).alias("inserted")), f"{root}/items")
+    stats = {k: int(v) for k, v in (result.get | written.get).items()}
     sources = {r.source_id: r.n for r in seen.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark.createDataFrame([(run_id, stats, sources)], LEDGER).coalesce(1).write.mode("append").parquet(f"{root}/runs")
     return stats

@@ -93,11 +93,15 @@ def assign_ids(rows: DataFrame, order: list[str], start: int = 1, id_col: str =
     and the id joins back on the unique key, so no row can meet a partition other than
     the one it was counted in."""
     rows = rows if written else materialize(rows)   # ``written``: already read from files
+    return rows.join(dense_ids(rows, order, start, id_col), order)
+
+
+def dense_ids(rows: DataFrame, order: list[str], start: int = 1, id_col: str = "id") -> DataFrame:
+    """(the columns ``order``, id) of ``assign_ids``, which the caller joins to the rows."""
     keys = materialize(rows.select(*order).orderBy(*order).withColumn("_pid", F.spark_partition_id()))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     place = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    ids = (keys.withColumn("_rn", place).join(offsets, "_pid")
-           .select(*order, (F.col("_off") + F.col("_rn") + F.lit(start - 1)).cast("bigint").alias(id_col)))
-    return rows.join(ids, order)
+    return (keys.withColumn("_rn", place).join(offsets, "_pid")
+            .select(*order, (F.col("_off") + F.col("_rn") + F.lit(start - 1)).cast("bigint").alias(id_col)))

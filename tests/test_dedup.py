@@ -99,3 +99,21 @@ def test_insert_or_ignore(spark):
     archived = spark.createDataFrame([("b",)], "k string")
     got = sorted(r.seq for r in insert_or_ignore(batch, archived).collect())
     assert got == [1]
+
+
+def test_keys_of_a_batch_are_made_once(spark):
+    """Verdicts read the keys many times; a batch's texts are cut and hashed for them once, and
+    once more where the verdicts are joined to the rows."""
+    from curata.operators.dedup import dedupe
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(x):
+        made.add(1)
+        return x
+    rows = [(i, float(i % 3), f"u{i // 2}", f"t{i // 3}") for i in range(200)]
+    batch = _frame(spark, rows).withColumn("title_key", key("title_key"))
+    archive = spark.createDataFrame([("u1", "t9", "x")], "url_fp string, title_fp string, normalized_title string")
+    got = {r.seq: r.dup_reason for r in dedupe(batch, archive).collect()}
+    assert len(got) == 200 and got[2] is not None
+    assert made.value <= 2 * len(rows)
