@@ -64,7 +64,9 @@ def landed_feeds(spark, sf_dir) -> str:
                 for name, value in zip(batch["name"], batch["value"]):
                     write_file(f"{path}/{name}", value)
                 yield batch[["name"]]
-        _feed_files(spark, sf_dir).mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+        # dealt by number: by bytes, one task would write tens of thousands of small files
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _feed_files(spark, sf_dir).repartition(tasks, "name").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
         return path
     return once(spark, sf_dir, "landed-feeds", make)
 

@@ -1,7 +1,7 @@
 """Source types (S5, X2): named ways to read landed files as rows (path, value).
 
 ``files`` is Spark's own source of whole files (empty ones too). ``landed_feed`` is a Python
-``DataSource`` with one partition per file and a stream reader, the pattern for a type that
+``DataSource`` with partitions of many files and a stream reader, the pattern for a type that
 Spark has no reader for. ``register`` adds a type; an unknown one is an error that lists the
 known ones.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+TASK_FILES, LEAST_TASKS = 512, 32       # files of a task; tasks, where there are as many files
 _TYPES: dict[str, Callable[[SparkSession, str, bool], DataFrame]] = {}
 
 
@@ -67,24 +68,32 @@ def write_file(path: str, text: str) -> None:
         f.write(text.encode())
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Paths(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def _dealt(paths: list[str]) -> list[_Paths]:
+    """The files dealt to tasks: up to ``TASK_FILES`` each, fewer where there are few."""
+    tasks = max(-(-len(paths) // TASK_FILES), min(len(paths), LEAST_TASKS))
+    return [_Paths(paths[i::tasks]) for i in range(tasks)]
 
 
 class _Files:
     def __init__(self, root: str):
         self.root = root
 
-    def read(self, partition: _File) -> Iterator[tuple[str, str]]:
+    def read(self, partition: _Paths) -> Iterator[tuple[str, str]]:
         system, _ = _filesystem(self.root)
-        with system.open_input_stream(partition.path) as f:
-            yield partition.path, f.read().decode("utf-8", "replace")
+        for path in partition.paths:
+            with system.open_input_stream(path) as f:
+                text = f.read().decode("utf-8", "replace")
+            yield path, text
 
 
 class _Reader(_Files, DataSourceReader):
-    def partitions(self) -> list[_File]:
-        return [_File(path) for _, path in _listing(self.root)]
+    def partitions(self) -> list[_Paths]:
+        return _dealt([path for _, path in _listing(self.root)])
 
 
 class _StreamReader(_Files, DataSourceStreamReader):
@@ -97,9 +106,9 @@ class _StreamReader(_Files, DataSourceStreamReader):
         files = _listing(self.root)
         return {"time": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[_File]:
+    def partitions(self, start: dict, end: dict) -> list[_Paths]:
         after, until = (start["time"], start["path"]), (end["time"], end["path"])
-        return [_File(path) for time, path in _listing(self.root) if after < (time, path) <= until]
+        return _dealt([path for time, path in _listing(self.root) if after < (time, path) <= until])
 
     def commit(self, end: dict) -> None:
         """Nothing is held for a batch that is done."""

@@ -155,3 +155,12 @@ def test_first_within_horizon_keeps_keyed_state(spark):
         assert titles == ["t1", "t4", "t5"]      # t3 is within the horizon of t1, t5 is not
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_a_task_reads_many_files():
+    from curata.sources import registry
+    paths = [f"f{i}" for i in range(100_000)]
+    parts = registry._dealt(paths)
+    assert sorted(p for part in parts for p in part.paths) == sorted(paths)
+    assert len(parts) < 250 and max(len(part.paths) for part in parts) <= registry.TASK_FILES
+    assert [part.paths for part in registry._dealt(["a", "b"])] == [["a"], ["b"]] and registry._dealt([]) == []
