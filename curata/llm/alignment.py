@@ -26,12 +26,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +73,7 @@ class Tokenizers:
         self.lengths_b = np.array([len(t) for t in self.bytes_b], np.int64)
         self.plain_a = self._ranked(model, public_tokenizers.PATTERN)
         self.words_b: dict[str, bytes] = {}
-        self.split_b = regex.compile(r" +[^ \n]*|[^ \n]+|\n").findall
+        self.split_b = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
 
     def _ranked(self, model: dict, pattern: str):
         """The same vocabulary for the faster of two libraries, if its merges rank as its ids."""
@@ -98,7 +98,13 @@ class Tokenizers:
             if b"".join([self.bytes_b[i] for i in ids[2:]]) == word.encode():
                 self.words_b[word] = array("H", ids[2:]).tobytes()
         known = self.words_b
-        return [b"".join([known[w] for w in words]) if all(w in known for w in words) else None for words in split]
+
+        def joined(words: list[str]) -> bytes | None:
+            try:
+                return b"".join([known[w] for w in words])
+            except KeyError:                        # a word whose pieces lose bytes
+                return None
+        return [joined(words) for words in split]
 
     def _whole(self, text: str) -> tuple[bytes, bytes] | None:
         a = self.whole_a.encode(" " + text, add_special_tokens=False).ids
@@ -152,16 +158,17 @@ class Aligned:
 
     def group_texts(self, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` for each document."""
-        kind = np.repeat(np.array([0, 1], np.int8), [len(self.a), len(self.b)])
-        group = np.concatenate([self.group_a, self.group_b])
-        order = np.lexsort((kind, group))
-        after = np.ones(len(order), np.int64)      # 0: comma, 1: bar, 2: semicolon
-        same = group[order][1:] == group[order][:-1]
-        after[:-1] = np.where(~same, 2, (kind[order][1:] != kind[order][:-1]).astype(np.int64))
-        if len(after):
-            after[-1] = 2
-        shown = list(map(_shown().__getitem__, (np.concatenate([self.a, self.b])[order].astype(np.int64) * 3
-                                                + after).tolist()))
+        groups = int(self.group_a[-1]) + 1 if len(self.a) else 0
+        in_a, in_b = (np.bincount(g, minlength=groups) for g in (self.group_a, self.group_b))
+        # a group's A tokens come first, then its B tokens; both kinds are in order already
+        at_a = np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[self.group_a]
+        at_b = np.arange(len(self.b)) + np.cumsum(in_a)[self.group_b]
+        mark_a, mark_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        mark_a[np.cumsum(in_a) - 1] = 1             # 0: comma, 1: bar, 2: semicolon
+        mark_b[np.cumsum(in_b) - 1] = 2
+        entry = np.empty(len(self.a) + len(self.b), np.int64)
+        entry[at_a], entry[at_b] = self.a.astype(np.int64) * 3 + mark_a, self.b.astype(np.int64) * 3 + mark_b
+        shown = list(map(_shown().__getitem__, entry.tolist()))
         ends = np.cumsum(sizes_a + sizes_b).tolist()
         return ["".join(shown[lo:hi])[:-1] for lo, hi in zip([0, *ends], ends)]
 
@@ -272,11 +279,15 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, chunk_by
             for row in batch.itertuples(index=False):
                 found, sizes_a, sizes_b = _unpacked(row, known)
                 held = {int(x["part"]): x["answer"] for x in row.answers} if row.answers is not None else {}
-                key, place = np.unique(found.pairs, return_inverse=True)
+                place, seen = pd.factorize(found.pairs)        # hashed; only the distinct pairs are sorted
+                order = np.argsort(seen)
+                key = seen[order]
                 total = np.zeros(len(key), np.int64)
                 for part, own in by_part(key, parts):
                     total[own] = unpack(held[part], np.int64)
-                count = total[place]
+                by_pair = np.empty(len(key), np.int64)
+                by_pair[order] = total
+                count = by_pair[place]
                 is_best = count == shared.value[(found.pairs >> _U64(32)).astype(np.int64)]
                 ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
                 before = np.append(0, np.cumsum(found.links))          # links before each A token
