@@ -41,6 +41,8 @@ from curata.llm.tokens import _PLAIN, _byte_letters
 
 MEMO_WORDS = 200_000
 _ENCODED = 1 << 20               # characters whose words are looked up together
+_ALIGNED = 1 << 18               # tokens of both kinds that are aligned together, unless one document has more
+_MERGED = 1 << 20                # pairs of a part that are merged at a time
 _PACKED = "keys array<string>, sizes_a binary, sizes_b binary, a binary, b binary, bytes long"
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _U64 = np.uint64
@@ -133,6 +135,15 @@ def tokenizers(byte_vocabulary: str, piece_vocabulary: str) -> Tokenizers:
     return Tokenizers(byte_vocabulary, piece_vocabulary)
 
 
+@lru_cache(maxsize=2)
+def token_lengths(byte_vocabulary: str, piece_vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each token of both, all that is needed once texts are ids: a worker that goes
+    on from encoding to aligning lets the tokenizers and memos go."""
+    known = tokenizers(byte_vocabulary, piece_vocabulary)
+    tokenizers.cache_clear()
+    return known.lengths_a, known.lengths_b
+
+
 class Aligned:
     """Groups and links of a chunk of documents."""
 
@@ -146,15 +157,16 @@ class Aligned:
         reach = np.maximum.accumulate(np.concatenate([ends_a, ends_b])[order])
         opens = np.ones(len(order), bool)
         opens[1:] = starts[order][1:] >= reach[:-1]
-        group = np.empty(len(order), np.int64)
+        group = np.empty(len(order), np.int32)
         group[order] = np.cumsum(opens) - 1
         self.group_a, self.group_b = group[:len(a)], group[len(a):]
-        self.low = np.searchsorted(ends_b, starts_a, "right")
-        self.links = np.searchsorted(starts_b, ends_a, "left") - self.low
-        count = int(self.links.sum())
-        linked = np.repeat(self.low - (np.cumsum(self.links) - self.links), self.links) + np.arange(count)
+        low = np.searchsorted(ends_b, starts_a, "right")
+        links = np.searchsorted(starts_b, ends_a, "left") - low
+        count = int(links.sum())
+        linked = np.repeat(low - (np.cumsum(links) - links), links) + np.arange(count)
+        self.links = links.astype(np.int32)
         #: of every link, in order of its A token: its B id and A id
-        self.pairs = (b[linked].astype(_U64) << _U64(32)) | np.repeat(a, self.links).astype(_U64)
+        self.pairs = (b[linked].astype(_U64) << _U64(32)) | np.repeat(a, links).astype(_U64)
 
     def group_texts(self, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` for each document."""
@@ -178,10 +190,20 @@ def _shown() -> list[str]:
     return [f"{i}{mark}" for i in range(1 << 16) for mark in ",|;"]
 
 
-def _unpacked(row, known: Tokenizers) -> tuple[Aligned, np.ndarray, np.ndarray]:
+def _aligned(row, lengths: tuple[np.ndarray, np.ndarray]):
+    """(documents, Aligned, sizes_a, sizes_b) of the documents of a chunk, some at a time:
+    documents share no group, and the working arrays are many times as large as the ids."""
     import zstandard
-    ids = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint16) for x in (row.a, row.b)]
-    return (Aligned(*ids, known.lengths_a, known.lengths_b), unpack(row.sizes_a, np.int64), unpack(row.sizes_b, np.int64))
+    a, b = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint16) for x in (row.a, row.b))
+    sizes_a, sizes_b = unpack(row.sizes_a, np.int64), unpack(row.sizes_b, np.int64)
+    ends_a, ends_b = np.append(0, np.cumsum(sizes_a)), np.append(0, np.cumsum(sizes_b))
+    for some in batched_bytes((sizes_a + sizes_b).tolist(), _ALIGNED):
+        lo, hi = some.start, some.stop
+        yield (some, Aligned(a[ends_a[lo]:ends_a[hi]], b[ends_b[lo]:ends_b[hi]], *lengths), sizes_a[some], sizes_b[some])
+
+
+def _pairs(parts) -> np.ndarray:
+    return np.concatenate([np.zeros(0, _U64), *(found.pairs for _, found, _, _ in parts)])
 
 
 def _chunked(docs: DataFrame, vocabularies: tuple[str, str], chunk_bytes: int) -> DataFrame:
@@ -218,33 +240,36 @@ def _counted(chunks: DataFrame, vocabularies: tuple[str, str], parts: int) -> Da
     """(chunk, part, answer, best): the links of each distinct pair of a chunk, in the order
     of the pairs; and, with no chunk, the highest sum per B id of a part."""
     def ask(batches):
-        known = tokenizers(*vocabularies)
+        lengths = token_lengths(*vocabularies)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                key, number = np.unique(_unpacked(row, known)[0].pairs, return_counts=True)
+                key, number = np.unique(_pairs(_aligned(row, lengths)), return_counts=True)
                 out = [(int(row.chunk), part, pack(key[own]), pack(number[own].astype(np.uint32)))
                        for part, own in by_part(key, parts)]
                 if out:
                     yield pd.DataFrame(out, columns=["chunk", "part", "key", "number"])
 
+    def distinct(rows) -> np.ndarray:
+        """The pairs of a part, ascending; merged as they come, as chunks share most of them."""
+        pair, held, size = np.zeros(0, _U64), [], 0
+        for r in rows:
+            held.append(unpack(r.key, _U64))
+            size += len(held[-1])
+            if size > max(_MERGED, len(pair)):
+                pair, held, size = np.unique(np.concatenate([pair, *held])), [], 0
+        return np.unique(np.concatenate([pair, *held]))
+
     def answer(batches):
         rows = [r for batch in batches for r in batch.itertuples(index=False)]
         if not rows:
             return
-        keys = [unpack(r.key, _U64) for r in rows]
-        sizes = [len(k) for k in keys]
-        pair, place = np.unique(np.concatenate(keys), return_inverse=True)
+        pair = distinct(rows)
         total = np.zeros(len(pair), np.int64)
-        at = 0
-        for r, n in zip(rows, sizes):
-            total[place[at:at + n]] += unpack(r.number, np.uint32)  # a chunk's pairs are distinct
-            at += n
-        at = 0
+        for r in rows:
+            total[np.searchsorted(pair, unpack(r.key, _U64))] += unpack(r.number, np.uint32)  # a chunk's pairs are distinct
         for some in range(0, len(rows), 256):
-            found = []
-            for r, n in zip(rows[some:some + 256], sizes[some:some + 256]):
-                found.append((str(r.chunk), r.part, pack(total[place[at:at + n]]), None))
-                at += n
+            found = [(str(r.chunk), r.part, pack(total[np.searchsorted(pair, unpack(r.key, _U64))]), None)
+                     for r in rows[some:some + 256]]
             yield pd.DataFrame(found, columns=["chunk", "part", "answer", "best"])
         second = (pair >> _U64(32)).astype(np.int64)
         heads = np.flatnonzero(np.append(True, second[1:] != second[:-1]))
@@ -273,36 +298,45 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, chunk_by
     shared = docs.sparkSession.sparkContext.broadcast(best)
     columns = ["key", *_FIGURES, "groups_sha256", *(["groups"] if texts else [])]
 
+    def counts(pairs, answers) -> np.ndarray:
+        """The count of every link of a chunk, in order."""
+        held = {int(x["part"]): x["answer"] for x in answers} if answers is not None else {}
+        place, seen = pd.factorize(pairs)                          # hashed; only the distinct pairs are sorted
+        order = np.argsort(seen)
+        key = seen[order]
+        total = np.zeros(len(key), np.int64)
+        for part, own in by_part(key, parts):
+            total[own] = unpack(held[part], np.int64)
+        by_pair = np.empty(len(key), np.int64)
+        by_pair[order] = total
+        return by_pair[place]
+
+    def figures(keys, found, sizes_a, sizes_b, count) -> pd.DataFrame:
+        is_best = count == shared.value[(found.pairs >> _U64(32)).astype(np.int64)]
+        ends_a = np.cumsum(sizes_a)
+        before = np.append(0, np.cumsum(found.links))              # links before each A token
+        per = lambda sums: np.diff(np.append(0, sums[before[ends_a]]))
+        links = per(np.arange(len(count) + 1))
+        n_best = per(np.append(0, np.cumsum(is_best)))
+        sums = per(np.append(0, np.cumsum(count)))
+        group = np.append(found.group_a, found.group_a[-1:] + 1)
+        groups = np.diff(np.append(0, group[ends_a])) if len(found.a) else np.zeros(len(sizes_a), np.int64)
+        shown = found.group_texts(sizes_a, sizes_b)
+        out = pd.DataFrame({
+            "key": keys, "n_a": sizes_a, "n_b": sizes_b, "n_groups": groups, "n_links": links,
+            "n_best": n_best, "count_sum": sums,
+            "groups_sha256": [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]})
+        return (out.assign(groups=shown) if texts else out)[columns]
+
     def finish(batches):
-        known = tokenizers(*vocabularies)
+        lengths = token_lengths(*vocabularies)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                found, sizes_a, sizes_b = _unpacked(row, known)
-                held = {int(x["part"]): x["answer"] for x in row.answers} if row.answers is not None else {}
-                place, seen = pd.factorize(found.pairs)        # hashed; only the distinct pairs are sorted
-                order = np.argsort(seen)
-                key = seen[order]
-                total = np.zeros(len(key), np.int64)
-                for part, own in by_part(key, parts):
-                    total[own] = unpack(held[part], np.int64)
-                by_pair = np.empty(len(key), np.int64)
-                by_pair[order] = total
-                count = by_pair[place]
-                is_best = count == shared.value[(found.pairs >> _U64(32)).astype(np.int64)]
-                ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-                before = np.append(0, np.cumsum(found.links))          # links before each A token
-                per = lambda sums: np.diff(np.append(0, sums[before[ends_a]]))
-                links = per(np.arange(len(count) + 1))
-                n_best = per(np.append(0, np.cumsum(is_best)))
-                sums = per(np.append(0, np.cumsum(count)))
-                group = np.append(found.group_a, found.group_a[-1:] + 1)
-                groups = np.diff(np.append(0, group[ends_a])) if len(found.a) else np.zeros(len(sizes_a), np.int64)
-                shown = found.group_texts(sizes_a, sizes_b)
-                out = pd.DataFrame({
-                    "key": list(row.keys), "n_a": sizes_a, "n_b": sizes_b, "n_groups": groups, "n_links": links,
-                    "n_best": n_best, "count_sum": sums,
-                    "groups_sha256": [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]})
-                yield (out.assign(groups=shown) if texts else out)[columns]
+                aligned, keys, at = list(_aligned(row, lengths)), list(row.keys), 0
+                count = counts(_pairs(aligned), row.answers)
+                for some, found, sizes_a, sizes_b in aligned:
+                    yield figures(keys[some], found, sizes_a, sizes_b, count[at:at + len(found.pairs)])
+                    at += len(found.pairs)
 
     answers = counted.where(F.col("part") >= 0).select("chunk", "part", "answer")
     schema = "key string, " + ", ".join(f"{c} long" for c in _FIGURES) + ", groups_sha256 string"

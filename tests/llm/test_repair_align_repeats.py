@@ -7,16 +7,18 @@ import heapq
 import json
 import random
 import re
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 from conftest import SF001
-from curata.llm import alignment, suffixes, turns
+from curata.llm import alignment, chunks, suffixes, turns
 from curata.llm.common import read
 from curata.session import ship_package
 
@@ -112,6 +114,24 @@ def test_no_piece_joins_a_word_to_a_following_space():
     assert all("▁" not in p.lstrip("▁") and (len(p) == 1 or "\n" not in p) for p in pieces)
 
 
+def test_a_chunk_is_aligned_some_documents_at_a_time(monkeypatch):
+    known = alignment.tokenizers(BYTES, PIECES)
+    texts = ["some longer text, with numbers 123 and more. " * n for n in (1, 9, 2, 40, 1, 3)] + ["", "ends"]
+    ids = [x or (b"", b"") for x in known.encode(texts)]
+    sizes = [np.array([len(x[k]) // 2 for x in ids], np.int64) for k in (0, 1)]
+    squeeze = zstandard.ZstdCompressor().compress
+    row = types.SimpleNamespace(sizes_a=chunks.pack(sizes[0]), sizes_b=chunks.pack(sizes[1]),
+                                a=squeeze(b"".join(x for x, _ in ids)), b=squeeze(b"".join(y for _, y in ids)))
+    lengths = alignment.token_lengths(BYTES, PIECES)
+    assert alignment.tokenizers.cache_info().currsize == 0      # the memos are not held while ids are aligned
+    (whole,) = alignment._aligned(row, lengths)
+    monkeypatch.setattr(alignment, "_ALIGNED", 100)
+    parts = list(alignment._aligned(row, lengths))
+    assert all(len(x.a) + len(x.b) <= 100 or some.stop - some.start == 1 for some, x, _, _ in parts) and len(parts) > 3
+    assert (alignment._pairs(parts) == whole[1].pairs).all()
+    assert sum((x.group_texts(p, q) for _, x, p, q in parts), []) == whole[1].group_texts(whole[2], whole[3])
+
+
 # --- operator 12
 
 def least_edits(rows):
