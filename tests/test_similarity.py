@@ -71,3 +71,36 @@ def test_related_pairs_are_stored_without_texts(spark):
     assert "related_summary" in shared.related_items(spark, SF001).columns
     path, schema = shared._WRITTEN[(spark.sparkContext.applicationId, SF001, "related-pairs")]
     assert schema.names == ["item_id", "related_item_id", "similarity", "rank"]
+
+
+def test_entries_are_not_shuffled_as_rows(spark, monkeypatch):
+    """Texts are dealt by id; the entries (document, term) stay in place and become few rows."""
+    from curata.operators import similarity as S
+    docs = _docs(spark, [(i, f"alpha{i % 3} beta{i}", "common word gamma", "u") for i in range(50)])
+    tf = S.term_frequency(docs)
+    plan = tf.groupBy("id").agg({"term": "count"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    monkeypatch.setattr(S, "CHUNK_POSTINGS", 40)
+    pieces = S._pieces(tf).collect()
+    assert sum(p.entries for p in pieces if p.ids) == tf.count() and sum(p.docs for p in pieces if p.ids) == 50
+    assert 1 < len(pieces) < 40
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    """Rows of one id are one document; a null id counts as one, linked with nothing."""
+    import math
+    from curata.operators import similarity as S
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 12)
+    monkeypatch.setattr(S, "CHUNK_POSTINGS", 5)
+    docs = _docs(spark, [(1, "red fox", "jumps", "u"), (1, "red", "", "u"), (2, "red fox", "", "u"), (3, "blue sky", "", "u"),
+                         (0, "blue", "", "u"), (None, "red whale", "", "u"), (None, "blue whale", "", "u")]).repartition(3)
+    got = {r.item_id: r.links for r in S.link_counts(S.term_frequency(docs), 0.01).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 0: 1}
+    none = _docs(spark, [(None, "red whale", "", "u")])
+    assert S.link_counts(S.term_frequency(none), 0.01).count() == 0
+    idf = lambda df: math.log(6 / (df + 1)) + 1          # 0, 1, 2, 3 and one for the null ids
+    tf = [{"red": 2, "fox": 1, "jumps": 1}, {"red": 1, "fox": 1}]
+    w = [{t: c * idf({"red": 3, "fox": 2, "jumps": 1}[t]) for t, c in x.items()} for x in tf]
+    sim = sum(w[0][t] * w[1][t] for t in w[1]) / math.prod(math.sqrt(sum(v * v for v in x.values())) for x in w)
+    pairs = S.cosine_pairs(S.term_frequency(docs), docs.select(docs.item_id.alias("id")).where("id = 2"), 0.01).collect()
+    assert [(p.item_id, p.related_item_id) for p in pairs] == [(2, 1)] and abs(pairs[0].sim - sim) < 1e-9
