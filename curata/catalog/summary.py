@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.catalog import register
-from curata.catalog.shared import THRESHOLD, TOP_K, related_items, relevant_items
+from curata.catalog.shared import THRESHOLD, TOP_K, related_items, relevant_items, written_pairs
 from curata.functions.text import scored_sentences, sentences
 from curata.functions.urls import with_identity
 from curata.oracle import sql as O
-from curata.operators.summarize import extracted, extractive, prompts
-from curata.plans.generation import with_related
+from curata.operators.summarize import best_text, extracted, extractive, prompts
+from curata.plans.generation import with_related, with_related_texts
 from curata.scope import TEST_SCOPE
 from curata.sources.archive import build_content_cache, with_cached_content
 from curata.sources.items import page_items
@@ -42,8 +42,10 @@ inp AS (SELECT rel.*, coalesce(relp.related, []) AS related FROM rel LEFT JOIN r
 
 
 def summary_inputs(spark, sf_dir):
-    rel = relevant_items(spark, sf_dir).select("item_id", "title", "url", "summary", "content")
-    return with_related(rel, related_items(spark, sf_dir))
+    rel = relevant_items(spark, sf_dir)
+    # of content and summary the one that is used
+    own = rel.select("item_id", "title", "url", best_text().alias("content"), F.lit("").alias("summary"))
+    return with_related_texts(own, written_pairs(spark, sf_dir), rel)
 
 
 @register("page_text", f"SELECT page_id, {O.page_text('html')} AS text FROM pages")

@@ -104,3 +104,23 @@ def test_null_and_repeated_ids(spark, monkeypatch):
     sim = sum(w[0][t] * w[1][t] for t in w[1]) / math.prod(math.sqrt(sum(v * v for v in x.values())) for x in w)
     pairs = S.cosine_pairs(S.term_frequency(docs), docs.select(docs.item_id.alias("id")).where("id = 2"), 0.01).collect()
     assert [(p.item_id, p.related_item_id) for p in pairs] == [(2, 1)] and abs(pairs[0].sim - sim) < 1e-9
+
+
+def test_whole_related_texts_are_sent_once_to_a_part(spark, monkeypatch):
+    """As joined row by row, for null, repeated and unrelated items and repeated priors, with many
+    items of one prior in several parts; no row with whole related texts is shuffled."""
+    from curata.operators.similarity import with_priors
+    from curata.plans import generation as G
+    ids = [None, None, 3, 3, *range(40)]
+    items = _docs(spark, [(i, f"title {i}", f"text {i} é" * 3, f"u{n}") for n, i in enumerate(ids)]).repartition(4)
+    pairs = spark.createDataFrame([(i, r, 0.5 - r / 100, k + 1) for i in range(35) for k, r in enumerate(
+        [7, 3, 20 + i % 4][:1 + i % 3])], "item_id long, related_item_id long, similarity double, rank int")
+    monkeypatch.setattr(G, "PART_ITEMS", 6)
+    monkeypatch.setattr(G, "_HELD_CHARS", 60)
+    got = G.with_related_texts(items, pairs, items)
+    want = G.with_related(items, with_priors(pairs, items))
+    rows = lambda df: sorted(map(repr, df.select("item_id", "title", "url", "summary", "related").collect()))
+    assert rows(got) == rows(want)
+    assert got.schema["related"].dataType.simpleString() == want.schema["related"].dataType.simpleString()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")     # the last step: nothing is shuffled after it
