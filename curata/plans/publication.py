@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.text import xml_escape
 from curata.operators.publish import json_feed, json_feed_items, published_articles, rss_items, search_index, view
-from curata.session import materialize
+from curata.session import stored
 from curata.sources.store import ArticleStore
 
 
@@ -39,7 +39,7 @@ def publish(store: ArticleStore, items: DataFrame, out: str, title: str, descrip
             base_url: str = "") -> dict[str, int]:
     """Write ``feed.xml``, ``feed.json`` and ``search.json`` below ``out`` (each a folder of
     Spark text files, replaced as a whole) and return the site statistics."""
-    v = materialize(published_view(store, items))
+    v = stored(published_view(store, items), "published-view")
     rss_document(v, title, description, built_at, base_url).coalesce(1).write.mode("overwrite").text(
         f"{out}/feed.xml")
     json_feed(json_feed_items(v, base_url), title, description, base_url).coalesce(1).write.mode("overwrite").text(

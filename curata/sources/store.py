@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from curata.session import materialize
+from curata.session import stored
 from curata.sources.archive import assign_ids
 from curata.sources.tables import path_exists
 
@@ -111,7 +111,7 @@ class ArticleStore:
         kept = [f.split()[0] for f in ARTICLES.split(", ") if f.split()[0] in drafts.columns]
         # the texts that a draft was made from stay behind
         drafts = drafts.select(*(c for c in kept if c not in ("article_id", "run_id", "created_at")), "sources", "comparisons")
-        new = materialize(drafts.join(self.articles().select("item_id"), "item_id", "left_anti"))
+        new = stored(drafts.join(self.articles().select("item_id"), "item_id", "left_anti"), "drafts")
         twice = new.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
         if twice:
             raise ValueError(f"item {twice[0].item_id} has more than one draft")
@@ -136,5 +136,5 @@ class ArticleStore:
         fields = self.spark.createDataFrame([], schema).schema.fields
         out = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
         (arrange(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
-         .option("parquet.block.size", _ROW_GROUP).option("parquet.bloom.filter.enabled#item_id", "true")
+         .option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).option("parquet.bloom.filter.enabled#item_id", "true")
          .parquet(f"{self.root}/{name}"))

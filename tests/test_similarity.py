@@ -124,3 +124,69 @@ def test_whole_related_texts_are_sent_once_to_a_part(spark, monkeypatch):
     assert got.schema["related"].dataType.simpleString() == want.schema["related"].dataType.simpleString()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange")     # the last step: nothing is shuffled after it
+
+
+def test_texts_of_single_rows_stay_in_place(spark, monkeypatch):
+    """Where no id repeats nothing is dealt by id, and the words of a document that several batches
+    or pieces' ends meet are counted as ``term_frequency`` counts them."""
+    from collections import Counter
+    from curata.operators import similarity as S
+    docs = _docs(spark, [(i, f"alpha{i % 3} beta{i} beta{i}", "common word gamma common " * (1 + i % 4), "u")
+                         for i in range(40)] + [(None, "red whale red", "common", "u"), (77, "", "", "u")]).repartition(3)
+    words = S._words(docs, "item_id")
+    plan = words.mapInArrow(lambda b: b, "id long, term string, tf int")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1                  # the test's own
+    tf = S.term_frequency(docs)
+    monkeypatch.setattr(S, "CHUNK_POSTINGS", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pieces = S._pieces(words, adjacent=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = [p for p in pieces if p.ids]
+    assert len(held) > 3 and sum(p.docs for p in held) == 41 and sum(p.entries for p in held) == tf.count()
+    got, own = Counter(), Counter()
+    for p in held:
+        terms = {p2.first + i: (t, n) for p2 in pieces if p2.piece == p.piece and p2.terms
+                 for i, (t, n) in enumerate(zip(p2.terms, p2.own))}
+        own.update(dict(terms.values()))
+        for i, c, n in zip(*(S._spread(x).tolist() for x in (p.ids, p.code, p.tf))):
+            assert (i, terms[c][0]) not in got
+            got[i, terms[c][0]] = n
+    assert got == {(r.id, r.term): r.tf for r in tf.where("id is not null").collect()}
+    assert own == {r.term: r["count"] for r in tf.groupBy("term").count().collect()}
+
+
+def test_best_rows_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """A task keeps the k best over all blocks of priors that it meets."""
+    from curata.operators import similarity as S
+    docs = _docs(spark, [(i, f"t{i % 7} alpha{i % 3} beta{i % 5}", f"gamma{i % 4} delta{i % 2} rare{i // 2} common word", "u")
+                         for i in range(60)]).repartition(8)
+    want = sorted(map(tuple, S.related_pairs(docs, docs, 3, 0.01).collect()))
+    links = sorted(map(tuple, S.link_counts(S.term_frequency(docs), 0.3).collect()))
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 80)
+    monkeypatch.setattr(S, "CHUNK_POSTINGS", 60)
+    monkeypatch.setattr(S, "_WAVES", 1)
+    words = S._words(docs, "item_id")
+    found = S._search(None, words, 0.01, 3, True)
+    assert found.rdd.getNumPartitions() > 4             # a row of candidates in each
+    assert found.groupBy("item_id").count().where("count > 3").count() == 0
+    counted = S._search(None, words, 0.3, 0, True)
+    assert sorted(map(tuple, counted.collect())) == links
+    assert sorted(map(tuple, S.related_pairs(docs, docs, 3, 0.01).collect())) == want
+
+
+def test_texts_of_irrelevant_items_are_not_written(spark):
+    from conftest import SF001
+    from curata.catalog import shared
+    from curata.operators.relevance import apply_relevance
+    from curata.scope import TEST_SCOPE
+    from curata.sources.items import document_items
+    shared.forget()
+    got = shared.relevant_items(spark, SF001)
+    path, schema = shared._WRITTEN[(spark.sparkContext.applicationId, SF001, "scored-items")]
+    written = spark.read.schema(schema).parquet(path)
+    assert written.where("not relevant").count() > 0
+    assert written.where("not relevant and coalesce(content, title, url) is not null").count() == 0
+    want = apply_relevance(document_items(spark, SF001), TEST_SCOPE).where("relevant").select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
