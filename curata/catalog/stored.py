@@ -11,7 +11,7 @@ from curata.catalog.articles import GEN_SQL
 from curata.catalog.shared import RUN_ID, article_store, drafts, relevant_items
 from curata.operators.publish import similarity_display
 from curata.operators.reports import QUALITY_STATUSES, status_counts
-from curata.session import ensure_checkpoint_dir, stored
+from curata.session import ensure_checkpoint_dir, passing, stored
 from curata.sources.store import ArticleStore
 
 #: DuckDB: the stored articles
@@ -50,9 +50,10 @@ def article_rerun_q(spark, sf_dir):
     """A store of its own: run 1 brings the even items, run 2 all of them (only those without
     an article are written, with ids that go on), runs 1 and 3 bring all of them again."""
     store = ArticleStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/article-rerun-{uuid.uuid4().hex}")
-    every = stored(drafts(spark, sf_dir).drop("related"), "rerun-drafts")
-    for run, rows in ((1, every.where(F.col("item_id") % 2 == 0)), (2, every), (1, every), (3, every)):
-        store.append(rows, run, "2024-06-01 00:00:00")
+    with passing(spark):
+        every = stored(drafts(spark, sf_dir).drop("related"), "rerun-drafts")
+        for run, rows in ((1, every.where(F.col("item_id") % 2 == 0)), (2, every), (1, every), (3, every)):
+            store.append(rows, run, "2024-06-01 00:00:00")
     ids = store.articles().groupBy("run_id").agg(
         F.min("article_id").alias("first_id"), F.max("article_id").alias("last_id"))
     return store.commits().join(ids, "run_id", "left").select(

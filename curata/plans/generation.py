@@ -114,19 +114,24 @@ def with_related_texts(items: DataFrame, pairs: DataFrame, priors: DataFrame) ->
     return rows.select("kind", "asked", "item", "prior", *info).mapInArrow(run, schema).select("item.*", "related")
 
 
+def own_parts(queue: DataFrame, scope: Scope) -> DataFrame:
+    """What a draft takes from its item alone: the salient sentences and the tags, without the texts."""
+    tags = scope_tags(scope, hits=None if "strong_hits" in queue.columns else keyword_hits(
+        scoring_text("title", "summary"), scope.strong))
+    return extracted(queue).withColumn("scope_tags", tags).select(
+        "item_id", "title", "url", "source_id", "what_changed", "scope_tags")
+
+
 def generate(queue: DataFrame, relevant: DataFrame, scope: Scope, answers: DataFrame | None = None,
              top_k: int = 3, min_similarity: float = 0.08, min_words: int = 40,
-             max_words: int = 320, model: str = "", related: DataFrame | None = None) -> DataFrame:
-    """Drafts with quality verdicts for every queued item. ``related``: the related priors,
-    where they have been found and written before."""
+             max_words: int = 320, model: str = "", related: DataFrame | None = None,
+             own: DataFrame | None = None) -> DataFrame:
+    """Drafts with quality verdicts for every queued item. ``related``, ``own``: the related priors
+    and the queue's ``own_parts``, where they have been made and written before."""
     if related is None:
         related = find_related(queue, relevant, top_k, min_similarity).drop("related_summary")
     # what a draft takes from the item's texts is taken before any join, so no text is shuffled
-    tags = scope_tags(scope, hits=None if "strong_hits" in queue.columns else keyword_hits(
-        scoring_text("title", "summary"), scope.strong))
-    own = extracted(queue).withColumn("scope_tags", tags).select(
-        "item_id", "title", "url", "source_id", "what_changed", "scope_tags")
-    inputs = with_related(own, related)
+    inputs = with_related(own_parts(queue, scope) if own is None else own, related)
     drafts = (merge_answers(inputs, answers, scope.name, model) if answers is not None
               else extractive(inputs, scope.name).withColumn("fallback", F.lit(False)))
     drafts = drafts.withColumns({

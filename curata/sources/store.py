@@ -6,18 +6,18 @@ the ledger, so a run that was cut off shows nothing, and its rerun overwrites on
 partitions. One item has one article: items that have one are left out by an anti-join, a
 second draft for one item is an error, and a committed run is never written again.
 
-Articles are range-partitioned and sorted by id with Bloom filters on ``item_id``, so a point
-read by either key touches a few row groups. The run's counters are taken by ``Observation``
-in the same pass as the write and stored with the commit.
+Drafts are written once, dealt and sorted by item, and a row's article id is its place there, so no
+row moves again. Articles are sorted by id in each file, with Bloom filters on ``item_id``, so a
+point read by either key touches a few row groups. The run's counters are taken by ``Observation``
+in the same pass as the write and stored with the commit; the drafts are removed then.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curata.session import stored
-from curata.sources.archive import assign_ids
+from curata.session import passing, stored
 from curata.sources.tables import path_exists
 
 ARTICLES = ("article_id bigint, item_id bigint, title string, url string, source_id string, what_changed string, "
@@ -29,6 +29,7 @@ COMPARISONS = ("article_id bigint, position int, related_item_id bigint, related
                "similarity double, note string, run_id bigint")
 COMMITS = "run_id bigint, stats map<string,bigint>"
 _ROW_GROUP = 8 << 20
+_PLACE_BITS = 33                # of monotonically_increasing_id: the row's place in its partition
 
 
 def generation_counters() -> list:
@@ -40,6 +41,18 @@ def generation_counters() -> list:
             F.count_if(F.col("fallback")).alias("llm_fallbacks")]
 
 
+def _numbered(written: DataFrame, start: int) -> DataFrame:
+    """``article_id``, dense from ``start`` in the order in which the rows were written (``_at``: the
+    number of the part and the place in it). A draft without an item is numbered, but left out."""
+    part, place = F.shiftright("_at", _PLACE_BITS), F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # a row per part
+    return (written.where(F.col("item_id").isNotNull()).withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn("article_id", F.col("_off") + place + F.lit(start)).drop("_at", "_part", "_off"))
+
+
 class ArticleStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -111,26 +124,32 @@ class ArticleStore:
         kept = [f.split()[0] for f in ARTICLES.split(", ") if f.split()[0] in drafts.columns]
         # the texts that a draft was made from stay behind
         drafts = drafts.select(*(c for c in kept if c not in ("article_id", "run_id", "created_at")), "sources", "comparisons")
-        new = stored(drafts.join(self.articles().select("item_id"), "item_id", "left_anti"), "drafts")
+        with passing(self.spark):
+            counted = nothing | self._write_run(drafts, run_id, created_at) | (stats or {})
+        self.spark.createDataFrame([(run_id, counted)], COMMITS).coalesce(1).write.mode("append").parquet(
+            f"{self.root}/commits")
+        return counted
+
+    def _write_run(self, drafts: DataFrame, run_id: int, created_at) -> dict[str, int]:
+        """The three tables of a run, and its counters."""
+        # in the order of the ids; a range exchange reads its input once more to sample it
+        new = stored(drafts.join(self.articles().select("item_id"), "item_id", "left_anti").repartitionByRange("item_id")
+                     .sortWithinPartitions("item_id").withColumn("_at", F.monotonically_increasing_id()), "drafts")
         twice = new.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
         if twice:
             raise ValueError(f"item {twice[0].item_id} has more than one draft")
         last = self.articles().agg(F.max("article_id")).first()[0] or 0
-        rows = assign_ids(new, ["item_id"], start=last + 1, id_col="article_id", written=True).withColumns(
+        rows = _numbered(new, last + 1).withColumns(
             {"run_id": F.lit(run_id).cast("bigint"), "created_at": F.lit(created_at).cast("timestamp")})
         seen = Observation()
-        # observed behind the range exchange, whose sampling reads its input once more
-        self._write(rows, "articles", ARTICLES, lambda out: out.repartitionByRange("article_id")
+        self._write(rows, "articles", ARTICLES, lambda out: out
                     .sortWithinPartitions("article_id").observe(seen, *generation_counters()))
         for name, schema, column in (("article_sources", SOURCES, "sources"),
                                      ("article_comparisons", COMPARISONS, "comparisons")):
             children = rows.select("article_id", "run_id", F.posexplode(column).alias("position", "child")).select(
                 "article_id", "run_id", "position", "child.*")
             self._write(children, name, schema)
-        counted = nothing | {k: int(v) for k, v in seen.get.items()} | (stats or {})
-        self.spark.createDataFrame([(run_id, counted)], COMMITS).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/commits")
-        return counted
+        return {k: int(v) for k, v in seen.get.items()}
 
     def _write(self, rows: DataFrame, name: str, schema: str, arrange=lambda out: out) -> None:
         fields = self.spark.createDataFrame([], schema).schema.fields

@@ -190,3 +190,28 @@ def test_texts_of_irrelevant_items_are_not_written(spark):
     assert written.where("not relevant and coalesce(content, title, url) is not null").count() == 0
     want = apply_relevance(document_items(spark, SF001), TEST_SCOPE).where("relevant").select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_terms_travel_as_cells(spark, monkeypatch):
+    """A cell a part of the terms and piece is shuffled, not a row a term; numbers and df are those of
+    the terms, with the terms of a part in several cells."""
+    from curata.operators import similarity as S
+    docs = _docs(spark, [(i, f"alpha{i % 3} beta{i}", f"gamma{i % 5} common w{i // 2}", "u") for i in range(60)]).repartition(4)
+    tf = S.term_frequency(docs)
+    monkeypatch.setattr(S, "_TERMS", 3)
+    pieces = S._pieces(S._words(docs, "item_id"), adjacent=True)
+    placed, blocks = S._placed(pieces, 3)
+    got = {r.term: (r.code, r.df) for r in S._numbered(pieces, placed, listed=True).collect()}
+    want = {r.term: r["count"] for r in tf.groupBy("term").count().collect()}
+    assert {t: df for t, (_, df) in got.items()} == want and len({c for c, _ in got.values()}) == len(want)
+    rows = S._numbered(pieces, placed).collect()
+    assert len(rows) == pieces.where("terms is not null").count() and max(len(S._spread(r.code)) for r in rows) == 3
+    number = {r.piece: r.number for r in placed.collect()}
+    cells = {(r.number, r.place): r for r in rows}
+    for p in pieces.where("terms is not null").collect():
+        cell = cells[number[p.piece], p.first]
+        assert list(zip(S._spread(cell.code).tolist(), S._spread(cell.df).tolist())) == [got[t] for t in p.terms]
+    import numpy as np
+    for values in (np.array([5, 3, -1, 2 ** 40, 7]), np.array([9, 2, 2 ** 31 - 1, 0], np.int32), np.array([], np.int64)):
+        for rising in (True, False):
+            assert S._spread(S._squeeze(values, rising)).tolist() == values.tolist()

@@ -68,3 +68,40 @@ def test_daily_run_reports_a_failure(spark, tmp_path, monkeypatch):
     told = {r.run_id: (r.health.status, r.health.summary) for r in daily.run_status(spark, root).collect()}
     assert told == {1: ("ok", "published/updated 1 article(s) from 1 relevant item(s)"),
                     2: ("failure", "pipeline failed: OSError: disk full")}
+
+
+def test_drafts_are_numbered_where_they_are_written(spark, tmp_path):
+    """Dense ids over many parts, none for a draft without an item; no row moves after the drafts are
+    written, and these are gone when the run is committed."""
+    from curata.session import ensure_checkpoint_dir
+    from curata.sources import store as S
+    drafts = _drafts(spark, range(100, -1, -1)).withColumn("item_id", F.nullif("item_id", F.lit(0))).repartition(5)
+    store = ArticleStore(spark, str(tmp_path / "store"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    files = lambda: {f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+                     if f.getPath().getName().startswith("drafts-")}
+    before = files()
+    store.append(drafts, 1, "2024-06-01 00:00:00")
+    assert files() == before
+    # a draft without an item takes a number, as before
+    assert sorted((r.article_id, r.item_id) for r in store.articles().collect()) == [(i + 1, i) for i in range(1, 101)]
+    assert store.sources().count() == 200 and store.commits().first().stats["generated"] == 100
+    written = drafts.withColumn("_at", F.monotonically_increasing_id())
+    written.write.parquet(str(tmp_path / "written"))
+    plan = S._numbered(spark.read.parquet(str(tmp_path / "written")), 1)._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
+    assert "BroadcastHashJoin" in plan and len(wide) == 2        # of the rows counted by part
+
+
+def test_the_store_writes_no_texts(spark):
+    """The items of the drafts are scored where they are read; their rows are those written otherwise."""
+    from conftest import SF001
+    from curata.catalog import shared
+    shared.forget()
+    store = shared.article_store(spark, SF001)
+    names = {name for _, _, name in shared._WRITTEN}
+    assert names == {"draft-parts", "related-pairs", "article-store"}
+    fresh, want = shared.read_items(spark, SF001), shared.relevant_items(spark, SF001)
+    assert fresh.columns == want.columns and store.articles().count() == want.count()
+    assert fresh.exceptAll(want).count() == 0 and want.exceptAll(fresh).count() == 0
+    shared.forget()
