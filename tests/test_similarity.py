@@ -215,3 +215,22 @@ def test_terms_travel_as_cells(spark, monkeypatch):
     for values in (np.array([5, 3, -1, 2 ** 40, 7]), np.array([9, 2, 2 ** 31 - 1, 0], np.int32), np.array([], np.int64)):
         for rising in (True, False):
             assert S._spread(S._squeeze(values, rising)).tolist() == values.tolist()
+
+
+def test_related_topk_asks_for_every_item(spark, tmp_path):
+    """Not only for those whose id is divisible by a hundred, in the code and in its SQL."""
+    import duckdb
+
+    import __spark_entry__ as driver
+    from tools.oracle_check import digest
+    texts = {7: "Vector thon of the search thing.", 13: "Vector tion thing search was.", 100: "Pasta tion of the sauce was.",
+             201: "Pasta thon sauce thing.", 305: None}
+    spark.createDataFrame([(i, t, "en", f"src{i}") for i, t in texts.items()], "doc_id long, text string, lang string, source string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(driver.oracle_sql()["related_topk"])
+    columns, rows = [d[0] for d in want.description], want.fetchall()
+    got = driver.queries()["related_topk"](spark, str(tmp_path))
+    assert {r[0] for r in rows} == {7, 13, 100, 201}
+    assert digest(got.columns, [tuple(r) for r in got.collect()]) == digest(columns, rows)
