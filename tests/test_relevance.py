@@ -82,3 +82,18 @@ def test_ten_thousand_terms(spark):
     grams = [{" ".join(run[i:i + n]) for run in (r.split() for r in t.replace(",", " ,\n").split(","))
               for n in (1, 2, 3) for i in range(len(run) - n + 1)} for t in texts]
     assert len(terms) > 10_000 and got == {(i, k) for i, g in enumerate(grams) for k in terms if k in g}
+
+
+def test_no_gram_is_shuffled(spark, monkeypatch):
+    """The vocabulary goes to the n-grams, whole or in pieces, with the same hits."""
+    from curata.operators import relevance as R
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(["open  weights of the", "the top 10", None, "weights"])],
+                                 "item_id long, title string, summary string")
+    terms = vocabulary(spark, ["open weights", "of the", "the", "top 10", "weights"])
+    want = [(0, "of the"), (0, "open weights"), (0, "the"), (0, "weights"), (1, "the"), (1, "top 10"), (3, "weights")]
+    for most in (1 << 18, 2):
+        monkeypatch.setattr(R, "_SENT_TERMS", most)
+        hits = dictionary_hits(docs, terms)
+        assert sorted(map(tuple, hits.collect())) == want
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
