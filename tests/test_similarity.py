@@ -234,3 +234,40 @@ def test_related_topk_asks_for_every_item(spark, tmp_path):
     got = driver.queries()["related_topk"](spark, str(tmp_path))
     assert {r[0] for r in rows} == {7, 13, 100, 201}
     assert digest(got.columns, [tuple(r) for r in got.collect()]) == digest(columns, rows)
+
+
+def test_two_blocks_meet_once(spark, monkeypatch):
+    """Where all documents ask all, a pair of blocks is multiplied once for both sides; the best and
+    the links are those of a plain search, with copies of a document and cosines near the threshold."""
+    import math
+    import random
+    from collections import Counter
+    from curata.operators import similarity as S
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(3, 25))) for _ in range(50)]
+    texts += [texts[3]] * 12 + [texts[7] + " extra"]
+    docs = _docs(spark, [(3 * i + 1, t, "", "u") for i, t in enumerate(texts)]).repartition(6)
+    tf = [Counter(t.split()) for t in texts]
+    df = Counter(t for c in tf for t in c)
+    vec = [{t: m * (math.log((len(tf) + 1) / (df[t] + 1)) + 1) for t, m in c.items()} for c in tf]
+    norm = [math.sqrt(sum(x * x for x in v.values())) for v in vec]
+    sim = {(a, b): sum(x * vec[b].get(t, 0.0) for t, x in vec[a].items()) / norm[a] / norm[b]
+           for a in range(len(tf)) for b in range(len(tf)) if a != b}
+    edge = sorted(sim.values())[len(sim) // 2]          # some pair is just at the threshold
+    for least in (0.2, edge - 1e-12, edge + 1e-12):
+        best = [sorted((-round(sim[a, b], 10), b) for b in range(len(tf)) if b != a and sim[a, b] >= least)[:3] for a in range(len(tf))]
+        want = sorted((3 * a + 1, 3 * b + 1, i + 1) for a, found in enumerate(best) for i, (_, b) in enumerate(found))
+        links = sorted((3 * a + 1, sum(sim[a, b] >= least for b in range(len(tf)) if b != a)) for a in range(len(tf)))
+        for size, dense in ((60, 0.05), (60, 2.0), (10 ** 6, 0.05)):
+            monkeypatch.setattr(S, "BLOCK_POSTINGS", size)
+            monkeypatch.setattr(S, "CHUNK_POSTINGS", size)
+            monkeypatch.setattr(S, "_DENSE", dense)
+            got = S.related_pairs(docs, docs, 3, least).select("item_id", "related_item_id", "rank")
+            assert sorted(map(tuple, got.collect())) == want
+            assert sorted(map(tuple, S.link_counts(S.term_frequency(docs), least).collect())) == links
+    pieces = S._pieces(S._words(docs, "item_id"), adjacent=True)
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 60)
+    placed, blocks = S._placed(pieces, 1)
+    packed = S._joined(pieces, placed, S._numbered(pieces, placed), blocks)
+    plan = S._mutual(packed, len(tf), 0.2, 3, 3)._jdf.queryExecution().executedPlan().toString()
+    assert blocks > 1 and "CartesianProduct (p_block" in plan
