@@ -271,3 +271,29 @@ def test_two_blocks_meet_once(spark, monkeypatch):
     packed = S._joined(pieces, placed, S._numbered(pieces, placed), blocks)
     plan = S._mutual(packed, len(tf), 0.2, 3, 3)._jdf.queryExecution().executedPlan().toString()
     assert blocks > 1 and "CartesianProduct (p_block" in plan
+
+
+def test_words_are_cut_where_pieces_are_made(spark, monkeypatch):
+    """Whole texts give the pieces that a row per word gives; no word is a row of the plan."""
+    from curata.operators import similarity as S
+    texts = ["The vector's DB-2 a b7 \u212aelvin \u0130stanbul c", None, "the of a", "x" * 50 + " x9 x9\nx9", "\u00e9t\u00e9 no_new nine"]
+    docs = _docs(spark, [(None if i == 7 else i, texts[i % 5], f"s{i // 2} Vector", "u") for i in range(30)]).coalesce(2)
+    monkeypatch.setattr(S, "CHUNK_POSTINGS", 20)
+    monkeypatch.setattr(S, "_WORDS", 9)
+
+    def entries(rows):
+        pieces = S._pieces(rows, adjacent=True).collect()
+        terms, out = {}, []
+        for p in sorted((p for p in pieces if p.terms is not None), key=lambda p: (p.piece, p.first)):
+            terms.setdefault(p.piece, []).extend(p.terms)
+        for p in pieces:
+            if p.ids is not None:
+                ids, codes, tf = (S._spread(x).tolist() for x in (p.ids, p.code, p.tf))
+                out += [(d, terms[p.piece][c], n) for d, c, n in zip(ids, codes, tf)]
+        return sorted(out), sum(p.docs or 0 for p in pieces)
+    assert entries(S._texts(docs, "item_id")) == entries(S._words(docs, "item_id"))
+    assert "Generate" not in S._texts(docs, "item_id")._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    monkeypatch.setattr(S, "_pieces", lambda tf, adjacent=False, make=S._pieces: seen.append(tf.columns) or make(tf, adjacent))
+    S.related_pairs(docs.where("item_id is not null"), docs.where("item_id < 9"), 3, 0.08).collect()
+    assert seen == [["id", "text"]]
